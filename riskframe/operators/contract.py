@@ -71,15 +71,25 @@ def schema_hash(df: DataFrame) -> str:
 
 
 def feature_catalog(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Name, kind and missing-value policy of every feature the table has."""
-    rows = []
+    """Name, kind and missing-value policy of every feature the table has, and
+    whether it is ready for training: no NULL left in any row."""
+    rows = F.count(F.lit(1))
+    entries = []
     for names, kind, policy in (
         (spec.numeric_features, "numeric", NUMBER_POLICY),
         (spec.categorical_features, "categorical", TEXT_POLICY),
     ):
-        rows += [(name, kind, policy, True) for name in names if name in df.columns]
-    schema = "feature_name string, feature_type string, missing_value_policy string, training_ready boolean"
-    return df.sparkSession.createDataFrame(rows, schema)
+        for name in names:
+            if name in df.columns:
+                entries.append(
+                    F.struct(
+                        F.lit(name).alias("feature_name"),
+                        F.lit(kind).alias("feature_type"),
+                        F.lit(policy).alias("missing_value_policy"),
+                        ((rows > 0) & (F.count(name) == rows)).alias("training_ready"),
+                    )
+                )
+    return df.agg(F.array(*entries).alias("f")).select(F.explode("f").alias("f")).select("f.*")
 
 
 def dataset_manifest(datasets: Mapping[str, DataFrame]) -> DataFrame:
