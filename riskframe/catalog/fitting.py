@@ -24,12 +24,17 @@ NUMERIC, TEXT = SPEC.numeric_features, SPEC.categorical_features
 SPLIT_SQL = "CASE WHEN transaction_dt <= b1 THEN 'train' WHEN transaction_dt <= b2 THEN 'validation' ELSE 'holdout' END"
 
 
-def digits(name: str) -> int:
-    return 4 if name.endswith("stddev") else 6
+# Columns whose last bits depend on the engine's logarithm, root or subtraction.
+ROUNDED = {"prior_card_amount_stddev": 4, "log_transaction_amount": 6, "amount_decimal": 6}
 
 
 def rounded(names):
-    return [F.round(n, digits(n)).alias(n) for n in names]
+    return [F.round(n, ROUNDED[n]).alias(n) if n in ROUNDED else F.col(n) for n in names]
+
+
+def number_sql(name: str) -> str:
+    value = f"CAST({name} AS DOUBLE)"
+    return f"round({value}, {ROUNDED[name]}) AS {name}" if name in ROUNDED else f"{value} AS {name}"
 
 
 # --- the model-ready datasets in SQL -------------------------------------------------
@@ -57,7 +62,7 @@ FEATURES = (
 MODEL = (
     "model",
     "SELECT transaction_id, CASE WHEN split <> 'unlabelled' THEN label END AS label, split, "
-    + ", ".join(f"round(CAST({c} AS DOUBLE), {digits(c)}) AS {c}" for c in NUMERIC)
+    + ", ".join(map(number_sql, NUMERIC))
     + ", "
     + ", ".join(f"coalesce({c}, '__MISSING__') AS {c}" for c in TEXT)
     + " FROM features",
@@ -145,8 +150,10 @@ def train_medians(spark, d):
     done = prepared(spark, d)
     train = split_frames(done.features.filter("labelled"), TIME, done.boundaries)["train"]
     table = fitted.medians_table(contract.model_columns(train, SPEC), NUMERIC)
-    stddev = F.col("column_name").endswith("stddev")
-    return table.withColumn("median", F.when(stddev, F.round("median", 4)).otherwise(F.round("median", 6)))
+    median = F.col("median")
+    for name, digits in ROUNDED.items():
+        median = F.when(F.col("column_name") == name, F.round("median", digits)).otherwise(median)
+    return table.withColumn("median", median)
 
 
 @query(

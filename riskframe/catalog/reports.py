@@ -85,18 +85,18 @@ rate_by_week = _by_time("rate_by_week", "transaction_week")
 def _by_feature(name: str, column: str, sql: str, expression):
     @query(name, _sql({column: sql}))
     def run(spark, d):
-        return rates.rate_by(clean(spark, d), {column: expression}, SPEC).orderBy(column)
+        return rates.rate_by(clean(spark, d), {column: expression()}, SPEC).orderBy(column)
 
     return run
 
 
-rate_by_amount_band = _by_feature("rate_by_amount_band", "amount_band", "amount_band", F.col("amount_band"))
-rate_by_has_identity = _by_feature("rate_by_has_identity", "has_identity", "has_identity", F.col("has_identity"))
+rate_by_amount_band = _by_feature("rate_by_amount_band", "amount_band", "amount_band", lambda: F.col("amount_band"))
+rate_by_has_identity = _by_feature("rate_by_has_identity", "has_identity", "has_identity", lambda: F.col("has_identity"))
 rate_by_missing_ratio = _by_feature(
     "rate_by_missing_ratio",
     "missing_ratio_bucket",
     "round(selected_missing_ratio, 1)",
-    F.round("selected_missing_ratio", 1),
+    lambda: F.round("selected_missing_ratio", 1),
 )
 
 
@@ -126,15 +126,15 @@ def _top_rate(name: str, key: str, sql: str, support: int, expression):
         _sql({key: sql}, support=support) + f" ORDER BY rate_pct DESC, transactions DESC, {key} LIMIT {rates.REPORT_ROWS}",
     )
     def run(spark, d):
-        return rates.top_by_rate(rates.rate_by(clean(spark, d), {key: expression}, SPEC, support), key)
+        return rates.top_by_rate(rates.rate_by(clean(spark, d), {key: expression()}, SPEC, support), key)
 
     return run
 
 
 # No card reaches 100 rows in the test tables, so the support limit is 20 here.
-top_rate_entities = _top_rate("top_rate_entities", "card_entity_key", "card_entity_key", 20, F.col("card_entity_key"))
-rate_by_email = _top_rate("rate_by_email", "p_email", missing("p_email"), 100, rates.or_missing("p_email"))
-rate_by_r_email = _top_rate("rate_by_r_email", "r_email", missing("r_email"), 100, rates.or_missing("r_email"))
+top_rate_entities = _top_rate("top_rate_entities", "card_entity_key", "card_entity_key", 20, lambda: F.col("card_entity_key"))
+rate_by_email = _top_rate("rate_by_email", "p_email", missing("p_email"), 100, lambda: rates.or_missing("p_email"))
+rate_by_r_email = _top_rate("rate_by_r_email", "r_email", missing("r_email"), 100, lambda: rates.or_missing("r_email"))
 
 
 @query(
