@@ -58,7 +58,7 @@ def score_batch(
     given = [c for c in (*columns.numeric, *columns.text) if c in supplied]
     kept = F.to_json(F.struct(*[F.col(c) for c in given]))
     predicted = training.predict(
-        model, filled.withColumn("features", kept), [spec.id, "__amount", "features"]
+        model, filled.withColumn("__given", kept), [spec.id, "__amount", "__given"]
     )
     if calibrator is not None:
         predicted = calibrator.apply(predicted, "probability").drop("probability").withColumnRenamed(
@@ -70,6 +70,7 @@ def score_batch(
         .withColumns(
             {
                 "amount": F.col("__amount"),
+                "features": F.col("__given"),
                 "scoring_mode": F.lit(mode),
                 "scored_at": F.lit(scored_at).cast("timestamp"),
                 "model_version": F.lit(model_version),
