@@ -243,8 +243,8 @@ def holdout_metrics(holdout: DataFrame, raw: str, calibrated: str, label: str, t
     """Final evaluation under a frozen calibrator and review threshold."""
     metrics = binary_metrics(holdout, calibrated, label, threshold)
     scores = brier_scores(holdout, raw, calibrated, label)
-    one = F.lit(1).alias("__one")
-    return metrics.select("*", one).join(scores.select("*", one), "__one").drop("__one")
+    both = metrics.unionByName(scores, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def release_gates(metrics: DataFrame, contract_ok: bool) -> DataFrame:
