@@ -77,11 +77,9 @@ def feature_stream(
 
     Labelled rows see labelled rows only, unlabelled rows see both. Where all
     unlabelled rows are later, one pass over the joint stream gives both;
-    otherwise the labelled rows get a pass of their own. The stream keeps only
-    the columns the contract needs.
+    otherwise the labelled rows get a pass of their own. The row features are
+    written first, and keep only the columns the contract needs.
     """
-    boundaries = fit_boundaries(labelled, spec.time, options.train_ratio, options.validation_ratio)
-    thresholds = fit_amount_thresholds(labelled.filter(F.col(spec.time) <= boundaries.first), spec.amount)
     wanted = [c for c in unlabelled.columns if c != spec.label]
     stream = (
         labelled.select(*wanted, spec.label)
@@ -92,31 +90,39 @@ def feature_stream(
             .withColumn("labelled", F.lit(False))
         )
     )
-    rows = base_features(stream, spec).withColumns(
-        outlier_flags(spec, thresholds.upper_cap, thresholds.p99)
-    )
+    rows = base_features(stream, spec)
     keys = ["card_entity_key", "email_entity_key", "device_entity_key"]
     known = [c for c in spec.features if c in rows.columns]
     kept = [spec.id, spec.time, spec.label, "labelled", "transaction_period", *keys, *known]
-    narrow = rows.select(*dict.fromkeys(kept))
-    if _later(unlabelled, labelled, spec.time):
-        with_history = add_history(narrow, spec, rows_per_task=options.rows_per_task)
+    # Written here so that the join with the side table runs once, not once per fit.
+    rows = materialise(rows.select(*dict.fromkeys(kept)), "row_features")
+    own, other = rows.filter("labelled"), rows.filter("NOT labelled")
+    boundaries = fit_boundaries(own, spec.time, options.train_ratio, options.validation_ratio)
+    thresholds = fit_amount_thresholds(own.filter(F.col(spec.time) <= boundaries.first), spec.amount)
+    if _unlabelled_are_later(rows, spec.time):
+        with_history = add_history(rows, spec, rows_per_task=options.rows_per_task)
     else:
-        own, other = narrow.filter("labelled"), narrow.filter("NOT labelled")
         with_history = add_history(own, spec, rows_per_task=options.rows_per_task).unionByName(
             history_for_unlabelled(own, other, spec, rows_per_task=options.rows_per_task)
         )
     return (
-        with_history.withColumns(amount_against_mean(spec.amount, "prior_card_avg_amount")),
+        with_history.withColumns(
+            {
+                **outlier_flags(spec, thresholds.upper_cap, thresholds.p99),
+                **amount_against_mean(spec.amount, "prior_card_avg_amount"),
+            }
+        ),
         boundaries,
         thresholds,
     )
 
 
-def _later(unlabelled: DataFrame, labelled: DataFrame, time: str) -> bool:
-    first = unlabelled.agg(F.min(time)).first()[0]
-    last = labelled.agg(F.max(time)).first()[0]
-    return first is None or last is None or first > last
+def _unlabelled_are_later(rows: DataFrame, time: str) -> bool:
+    bounds = rows.agg(
+        F.max(F.when(F.col("labelled"), F.col(time))).alias("last"),
+        F.min(F.when(~F.col("labelled"), F.col(time))).alias("first"),
+    ).first()
+    return None in (bounds["first"], bounds["last"]) or bounds["first"] > bounds["last"]
 
 
 def prepare(
@@ -124,8 +130,8 @@ def prepare(
 ) -> Prepared:
     """Fit on the training window, apply everywhere, and build the six datasets.
 
-    Inputs are joined tables that carry ``has_identity``. The feature stream is
-    written once; the fits and the datasets read that table.
+    Inputs are joined tables that carry ``has_identity``. Row features and the
+    feature stream are written once each; the fits and the datasets read them.
     """
     stream, boundaries, thresholds = feature_stream(labelled, unlabelled, spec, options)
     features = materialise(stream, "features")
