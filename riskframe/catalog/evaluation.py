@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import query
-from riskframe.catalog.tables import SPEC, scored, scored_windows
+from riskframe.catalog.tables import SPEC, prepared, scored, scored_windows
 from riskframe.operators import ranking
+from riskframe.operators.contract import contract_checks
 
 LABEL, P = SPEC.label, "p"
 HOLDOUT_THRESHOLD = 0.03
@@ -229,9 +230,6 @@ def holdout_metrics(spark, d):
     HOLDOUT,
 )
 def release_gates(spark, d):
-    from riskframe.catalog.tables import prepared
-    from riskframe.operators.contract import contract_checks
-
     failed = contract_checks(prepared(spark, d).datasets, SPEC).filter(~F.col("ok")).limit(1).count()
     gates = ranking.release_gates(_holdout(spark, d), failed == 0)
     return gates.withColumns({c: F.round(c, 6) for c in ("value", "bound")})

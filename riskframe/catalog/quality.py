@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.catalog.registry import query
-from riskframe.catalog.tables import SPEC, base, clean, ident, txn, wide
+from riskframe.catalog.tables import SPEC, base, clean, ident, raw_import, txn, wide
 from riskframe.operators import profile
 from riskframe.session import shared_folder
 from riskframe.sources import files
@@ -33,8 +33,6 @@ def _audit_sql(dataset: str, table: str, key: str) -> str:
     ),
 )
 def key_audit(spark, d):
-    from riskframe.catalog.tables import raw_import
-
     return profile.union_all(
         [
             profile.key_audit(txn(spark, d), ID, "transactions"),

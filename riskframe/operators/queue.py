@@ -201,16 +201,13 @@ def dataset_catalogue(
         labelled = label in df.columns
         rate = F.avg(label) if labelled else F.lit(None).cast("double")
         parts.append(
-            df.agg(F.count(F.lit(1)).alias("rows"), F.first(rate).alias("positive_rate"))
-            if not labelled
-            else df.agg(F.count(F.lit(1)).alias("rows"), rate.alias("positive_rate"))
-        )
-        parts[-1] = parts[-1].select(
-            F.lit(name).alias("dataset"),
-            "rows",
-            "positive_rate",
-            F.lit(labelled).alias("has_labels"),
-            F.lit(name.startswith(trained_prefix)).alias("trained_on"),
+            df.agg(F.count(F.lit(1)).alias("rows"), rate.alias("positive_rate")).select(
+                F.lit(name).alias("dataset"),
+                "rows",
+                "positive_rate",
+                F.lit(labelled).alias("has_labels"),
+                F.lit(name.startswith(trained_prefix)).alias("trained_on"),
+            )
         )
     natural = F.coalesce(F.abs(F.col("positive_rate") - baseline) <= NATURAL_RATE_TOLERANCE, F.lit(False))
     return (
