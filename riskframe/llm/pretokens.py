@@ -14,13 +14,16 @@ NUMBERS = "0-9²³¹¼½¾"
 #: Any other character sends the whole text to the library: only here are the classes of both regex engines known to agree.
 OTHER = re.compile("[^\t\n\r -~¡-įı-ſ‐-‧€]")
 
-# The two splitting patterns that are known, as their files write them, and the same for the characters above.
+# The contractions of both patterns.
+SHORT = "'(?:s|t|re|ve|m|ll|d)"
+
+#: The two known splitting patterns for the characters above. Letters are tried first, as they are most common and start no other alternative.
 PLAIN = {
-    "words": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+"),
-    "bytes": re.compile(
-        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+"
-    ),
+    "words": re.compile(f"[{LETTERS}]+|[{NUMBERS}]|{SHORT}|[^\\s{LETTERS}{NUMBERS}]+"),
+    "bytes": re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|{SHORT}| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+"),
 }
+
+# Fixed value: the word pattern as its file writes it.
 WORDS_FILE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -28,7 +31,8 @@ def byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return dict(sorted(letters.items()))
 
 
 class PreTokens:
@@ -51,7 +55,7 @@ class PreTokens:
             kinds = [n["type"] for n in (normal or {}).get("normalizers", [])]
             if kinds == ["NFC", "Replace", "Lowercase"]:  # composed letters only here, and white space is dropped anyway
                 self.plain, self.lower = PLAIN["words"], True
-        self.letters = byte_letters()
+        self.letters = list(byte_letters().values())
 
     def split(self, text: str) -> list[str] | None:
         """The pre-tokens, or None for a text that only the library itself should encode."""
@@ -59,9 +63,9 @@ class PreTokens:
             return None
         return self.plain.findall(text.lower() if self.lower else text)
 
-    def ids(self, pretoken: str) -> tuple[int, ...]:
-        spelled = pretoken.encode().decode("latin-1").translate(self.letters)
-        return tuple([t.id for t in self.model.tokenize(spelled)])
+    def ids(self, pretoken: str) -> list[int]:
+        letters = self.letters
+        return [t.id for t in self.model.tokenize("".join([letters[b] for b in pretoken.encode()]))]
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids

@@ -13,7 +13,6 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,9 @@ PERCENTILE = 95
 #: A file is closed after the document that brings it to this many ids.
 FILE_IDS = 8_000_000
 
+#: Pre-tokens that a worker remembers, at about 200 bytes each: encoding is most of the work.
+REMEMBERED = 250_000
+
 HEAD = struct.Struct("<IBH")
 FOOT = struct.Struct("<QQQ")
 NO_ID = -(1 << 63)
@@ -48,8 +50,8 @@ def pack(values: np.ndarray) -> bytes:
     rest = (values - np.uint32(least)).astype(np.uint32)
     width = int(np.partition(rest, k := min(len(rest) - 1, len(rest) * PERCENTILE // 100))[k]).bit_length()
     odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    bits = (rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
     return HEAD.pack(least, width, len(odd)) + packed + odd.astype("<u2").tobytes() + rest[odd].astype("<u4").tobytes()
 
 
@@ -103,16 +105,17 @@ def read_ids(data: bytes, first: int, n: int) -> np.ndarray:
 
 @cache
 def _encoder(path: str) -> tuple[PreTokens, Memo]:
-    """One per worker process."""
+    """One per worker process. A pre-token's ids are remembered as the bytes that a document's ids are joined from."""
     tokens = PreTokens(path)
-    return tokens, Memo(tokens.ids)
+    return tokens, Memo(lambda word: np.array(tokens.ids(word), "<u4").tobytes(), REMEMBERED)
 
 
 def _encoded(text: str | None, path: str, end: int) -> np.ndarray:
     tokens, words = _encoder(path)
     split = tokens.split(text or "")
-    found = tokens.whole(text) if split is None else chain.from_iterable([words[w] for w in split])
-    return np.fromiter(chain(found, (end,)), np.uint32)
+    if split is None:
+        return np.array([*tokens.whole(text or ""), end], np.uint32)
+    return np.frombuffer(b"".join([*[words[w] for w in split], struct.pack("<I", end)]), "<u4")
 
 
 def write_tokens(documents: DataFrame, path: str, end: int = 1, folder: str | None = None) -> DataFrame:
@@ -209,5 +212,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    spread = files.repartition("file")
+    # A number of its own, as otherwise the few small rows that name the files would be read in one task.
+    spread = files.repartition(max(1, manifest.count()))
     return spread.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
