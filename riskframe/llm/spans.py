@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -72,7 +71,8 @@ class Aligned:
         rule.precompiled_charsmap, rule.add_dummy_prefix = b"", False
         rule.remove_extra_whitespaces, rule.escape_whitespaces = False, False
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.words = Memo(lambda word: tuple(self.library.encode(word)))
+        # A word's ids are remembered as the bytes that a text's ids are joined from.
+        self.words = Memo(lambda word: np.array(self.library.encode(word), np.int32).tobytes())
 
     @staticmethod
     def _surface(text: str, kind: int, unknown: str) -> bytes:
@@ -128,7 +128,7 @@ class Aligned:
 
     def ids(self, normal: str) -> np.ndarray:
         words = self.words
-        return np.fromiter(chain.from_iterable([words[w] for w in self.word.findall(normal)]), np.int32)
+        return np.frombuffer(b"".join([words[w] for w in self.word.findall(normal)]), np.int32)
 
     def spans(self, normal: str, source: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of each piece in the original text. A piece of the prefix alone covers no byte."""

@@ -80,19 +80,23 @@ def map_texts(
 
 
 class Memo(dict):
-    """What ``make`` gives for each word, remembered for at most ``limit`` words and then started anew.
+    """What ``make`` gives for each word, remembered for the last words seen, between ``limit`` and twice as many.
 
-    Only time depends on what is remembered, never a result.
+    When ``limit`` words are new, the words before them are forgotten, unless
+    they were seen since. Only time depends on what is remembered, never a result.
     """
 
-    def __init__(self, make: Callable[[str], object], limit: int = 300_000) -> None:
+    def __init__(self, make: Callable[[str], object], limit: int = 80_000) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.before = make, limit, {}
 
     def __missing__(self, word: str) -> object:
-        if len(self) >= self.limit:
-            self.clear()
-        made = self.make(word)
+        made = self.before.get(word)
+        if made is None:
+            made = self.make(word)
         if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
             self[word] = made
         return made
