@@ -9,7 +9,6 @@ from riskframe.operators.contract import contract_checks
 
 LABEL, P = SPEC.label, "p"
 HOLDOUT_THRESHOLD = 0.03
-BINS = 100
 POINTS_SQL = """SELECT {p} AS p, sum(label) AS pos, count(*) - sum(label) AS neg FROM {table} GROUP BY 1"""
 RUNNING_SQL = """SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg
     FROM {points} WINDOW d AS (ORDER BY p DESC)"""
@@ -128,13 +127,13 @@ threshold_policy = _policy("threshold_policy", ranking.MIN_REVIEW_PRECISION, ran
 # Limits the synthetic scores can reach, so that the first-choice rules apply too.
 threshold_policy_reachable = _policy("threshold_policy_reachable", 0.032, 0.034)
 
-# --- calibration: the isotonic fit as a max-min formula over the score bins ------------
+# --- calibration: the isotonic fit as a max-min formula over the distinct scores ------------
 
 ISOTONIC = (
     (
         "bins",
-        f"""SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM (
-        SELECT floor(p * {BINS}) / CAST({BINS} AS DOUBLE) AS x, count(*) AS w, sum(label) AS s FROM calibration GROUP BY 1)""",
+        """SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM (
+        SELECT p AS x, count(*) AS w, sum(label) AS s FROM calibration GROUP BY 1)""",
     ),
     (
         "segments",
@@ -153,15 +152,15 @@ def calibrated_sql(table: str) -> str:
     """Rows of ``table`` with the curve's value, linear between its points and flat outside."""
     return f"""SELECT t.*, CASE WHEN x1 IS NULL THEN y2 WHEN x2 IS NULL OR x1 = x2 THEN y1
         ELSE y1 + (y2 - y1) * (g - x1) / (x2 - x1) END AS calibrated
-    FROM (SELECT *, floor(p * {BINS}) / CAST({BINS} AS DOUBLE) AS g FROM {table}) t JOIN (
+    FROM (SELECT *, p AS g FROM {table}) t JOIN (
       SELECT q.g AS gg, (SELECT max(x) FROM curve WHERE x <= q.g) AS x1, (SELECT min(x) FROM curve WHERE x >= q.g) AS x2,
         (SELECT arg_max(y, x) FROM curve WHERE x <= q.g) AS y1, (SELECT arg_min(y, x) FROM curve WHERE x >= q.g) AS y2
-      FROM (SELECT DISTINCT floor(p * {BINS}) / CAST({BINS} AS DOUBLE) AS g FROM {table}) q) k ON k.gg = t.g"""
+      FROM (SELECT DISTINCT p AS g FROM {table}) q) k ON k.gg = t.g"""
 
 
 def calibrated(spark, d, window: str):
     windows = scored_windows(spark, d)
-    calibrator = ranking.fit_calibrator(windows["calibration"], P, LABEL, BINS)
+    calibrator = ranking.fit_calibrator(windows["calibration"], P, LABEL)
     return calibrator.apply(windows[window], P)
 
 

@@ -12,7 +12,8 @@ from riskframe.session import shared_folder
 from riskframe.sources import files
 
 ID = SPEC.id
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels",
+          "embeddings", "pages", "benchmark", "conversations")
 
 
 def _audit_sql(dataset: str, table: str, key: str) -> str:

@@ -49,8 +49,10 @@ def flag(condition: Column) -> Column:
 
 
 def minor_units(amount: str | Column, scale: int) -> Column:
-    """The amount as a whole number of its smallest unit, for exact sums."""
+    """The amount as a whole number of its smallest unit, for exact sums. NaN and infinite amounts are unknown."""
     column = F.col(amount) if isinstance(amount, str) else amount
+    value = column.cast("double")
+    column = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), column)
     return F.round(column * F.lit(10**scale), 0).cast("bigint")
 
 

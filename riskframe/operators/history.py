@@ -47,15 +47,16 @@ def hot_keys(df: DataFrame, spec: TableSpec, entities: Sequence[str], rows_per_t
 
 
 def _with_chunk(df: DataFrame, entity: str, key: str, time: str, hot: DataFrame | None) -> DataFrame:
-    """Add ``__chunk``: the time slice of a hot key, -1 for every other key."""
+    """Add ``__chunk``: the time slice of a hot key (0 for rows without time, which come first), -1 for every other key."""
     if hot is None:
         return df.withColumn("__chunk", F.lit(-1).cast("bigint"))
-    spans = hot.filter(F.col("entity") == entity).select(F.col("key").alias(key), "__first", "__width")
-    chunk = F.floor((F.col(time) - F.col("__first")) / F.col("__width")).cast("bigint")
+    spans = hot.filter(F.col("entity") == entity).select(F.col("key").alias(key), "__first", "__width", F.lit(True).alias("__hot"))
+    slice_ = F.coalesce(F.floor((F.col(time) - F.col("__first")) / F.col("__width")) + 1, F.lit(0)).cast("bigint")
+    chunk = F.when(F.col("__hot"), slice_)
     return (
         df.join(spans, key, "left")
         .withColumn("__chunk", F.coalesce(chunk, F.lit(-1).cast("bigint")))
-        .drop("__first", "__width")
+        .drop("__first", "__width", "__hot")
     )
 
 
@@ -65,7 +66,7 @@ def _statistics(cents: Column, time: Column) -> dict[str, Column]:
         "n": F.count(F.lit(1)),
         "known": F.count(cents),
         "total": F.sum(cents),
-        "squares": F.sum(cents.cast("double") * cents.cast("double")),
+        "squares": F.sum(cents.cast("decimal(19,0)") * cents.cast("decimal(19,0)")),
         "latest": F.max(time),
     }
 
@@ -123,8 +124,13 @@ def _features(entity: str, value: dict[str, Column], spec: TableSpec) -> list[Co
         f"prior_{entity}_avg_amount": F.when(divisor > 0, total / divisor).otherwise(F.lit(0.0)),
     }
     if entity == "card":
-        known, minor = value["known"], value["total"].cast("double")
-        spread = F.greatest(value["squares"] - minor * minor / known, F.lit(0.0)) / (known - 1)
+        # Squares around the whole number next to the mean: exact, so that large equal amounts do not cancel.
+        known, whole = value["known"], F.coalesce(value["total"], F.lit(0)).cast("decimal(19,0)")
+        mean = F.coalesce(F.round(whole / F.nullif(known, F.lit(0)), 0), F.lit(0)).cast("decimal(19,0)")
+        rows = known.cast("decimal(19,0)")
+        around = value["squares"] - (mean * whole).cast("decimal(38,0)") * 2 + (mean * mean).cast("decimal(38,0)") * rows
+        rest = (whole - mean * rows).cast("double")
+        spread = F.greatest(around.cast("double") - rest * rest / known, F.lit(0.0)) / (known - 1)
         columns["prior_card_amount_stddev"] = F.when(known > 1, major_units(F.sqrt(spread), scale)).otherwise(
             F.lit(0.0)
         )

@@ -21,7 +21,6 @@ REJECT_RULE = "lowest_threshold_meeting_reject_precision"
 REJECT_FALLBACK_RULE = "best_available_precision_fallback"
 GATES = {"holdout_pr_auc": 0.4582, "holdout_roc_auc": 0.8746, "review_precision": 0.30}
 
-CALIBRATION_BINS = 1000
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -226,11 +225,11 @@ def grid_value(score: Column, bins: int | None) -> Column:
     return value if bins is None else F.floor(value * bins) / F.lit(float(bins))
 
 
-def fit_calibrator(df: DataFrame, score: str, label: str, bins: int | None = CALIBRATION_BINS) -> Calibrator:
-    """Isotonic fit on score bins weighted by their rows.
+def fit_calibrator(df: DataFrame, score: str, label: str, bins: int | None = None) -> Calibrator:
+    """Isotonic fit on the distinct scores weighted by their rows, which are merged first.
 
-    Rows are merged per bin first, so the fit sees at most ``bins + 1`` points
-    whatever the table holds. ``bins=None`` merges per distinct score instead.
+    ``bins`` rounds scores down to a grid of so many steps before the fit and before it is
+    applied: an approximation for scores with too many distinct values to fit.
     """
     points = df.groupBy(grid_value(F.col(score), bins).alias("__score")).agg(
         F.avg(F.col(label).cast("double")).alias("__label"), F.count(F.lit(1)).cast("double").alias("__weight")

@@ -121,7 +121,13 @@ def _unlabelled_are_later(rows: DataFrame, time: str) -> bool:
     bounds = rows.agg(
         F.max(F.when(F.col("labelled"), F.col(time))).alias("last"),
         F.min(F.when(~F.col("labelled"), F.col(time))).alias("first"),
+        F.count_if(F.col("labelled") & F.col(time).isNull()).alias("lost"),
+        F.count_if(~F.col("labelled") & F.col(time).isNull()).alias("undated"),
     ).first()
+    if bounds["lost"]:
+        raise ValueError(f"{bounds['lost']} labelled rows have no {time} and would be in no split")
+    if bounds["undated"]:
+        return False  # such rows come first in a history, so labelled rows must not see them
     return None in (bounds["first"], bounds["last"]) or bounds["first"] > bounds["last"]
 
 

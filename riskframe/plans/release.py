@@ -43,7 +43,7 @@ def release(
     spec: TableSpec,
     families=training.FAMILIES,
     settings: Mapping[str, Mapping] | None = None,
-    bins: int | None = ranking.CALIBRATION_BINS,
+    bins: int | None = None,
 ) -> Release:
     """The champion on the selection window, calibrated on the calibration window,
     with thresholds from the policy window, judged once on the holdout.

@@ -34,10 +34,15 @@ def get_session(app_name: str = "riskframe", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder for intermediate tables, named in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    Only a local session without that setting (tests, a laptop) gets a folder of
+    its own: on a cluster, executors would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_folder(spark.sparkContext.applicationId)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 @cache

@@ -11,13 +11,25 @@ ID_MISSING = "transaction id is missing"
 ID_NOT_WHOLE = "transaction id is not a whole number"
 AMOUNT_NOT_NUMBER = "amount is not a number"
 
-MOST_ERRORS_SHOWN = 50
+# Wide enough for every bigint, and for the digits by which a number is told from a whole one.
+WIDE = "decimal(38,12)"
 
 
 def _blank_as_null(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(""))
 
 
+def _whole(key: Column) -> Column:
+    """The id as a bigint; NULL unless it is a whole number in range, without a detour over doubles."""
+    number = key.try_cast(WIDE)
+    return F.when(number == F.floor(number), number.cast("decimal(38,0)").try_cast("bigint"))
+
+
+def _finite(value: Column) -> Column:
+    number = value.try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
 def checked(raw: DataFrame, id_column: str, amount: str) -> DataFrame:
     """Add ``error``: why a row cannot be imported, NULL for a good row.
 
@@ -28,8 +40,8 @@ def checked(raw: DataFrame, id_column: str, amount: str) -> DataFrame:
     key, value = _blank_as_null(id_column), _blank_as_null(amount)
     error = (
         F.when(key.isNull(), ID_MISSING)
-        .when(key.try_cast("double").isNull(), ID_NOT_WHOLE)
-        .when(value.isNotNull() & value.try_cast("double").isNull(), AMOUNT_NOT_NUMBER)
+        .when(_whole(key).isNull(), ID_NOT_WHOLE)
+        .when(value.isNotNull() & _finite(value).isNull(), AMOUNT_NOT_NUMBER)
     )
     return raw.withColumn("error", error)
 
@@ -44,8 +56,8 @@ def valid_rows(raw: DataFrame, id_column: str, amount: str) -> DataFrame:
         checked(raw, id_column, amount)
         .filter(F.col("error").isNull())
         .select(
-            F.col(id_column).try_cast("double").cast("bigint").alias(id_column),
-            F.coalesce(_blank_as_null(amount).try_cast("double"), F.lit(0.0)).alias(amount),
+            _whole(F.col(id_column)).alias(id_column),
+            F.coalesce(_finite(_blank_as_null(amount)), F.lit(0.0)).alias(amount),
             *[_blank_as_null(c).alias(c) for c in others],
         )
     )

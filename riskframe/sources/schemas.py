@@ -7,17 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import types as T
 
-from riskframe.spec import CARD_PAYMENTS, TableSpec, numbered
+from riskframe.spec import CARD_PAYMENTS, IDENTITY_TEXT_FIELDS, TableSpec
 
 # Which columns of the two raw tables are numbers.
 TRANSACTION_NUMBER = re.compile(r"[CDV]\d+")
-IDENTITY_TEXT = frozenset(
-    (
-        *numbered("id_", 12, 15, 16, 23, 27, 28, 29, 30, 31, 33, 34, 35, 36, 37, 38),
-        "DeviceType",
-        "DeviceInfo",
-    )
-)
+IDENTITY_TEXT = frozenset((*IDENTITY_TEXT_FIELDS, "DeviceType", "DeviceInfo"))
 
 
 def normalise_header(columns: Sequence[str]) -> list[str]:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
-def numbered(prefix: str, *numbers: int) -> tuple[str, ...]:
-    return tuple(f"{prefix}{n}" for n in numbers)
-
+# Identity columns that hold text.
+IDENTITY_TEXT_FIELDS = (
+    "id_12", "id_15", "id_16", "id_23", "id_27", "id_28", "id_29", "id_30",
+    "id_31", "id_33", "id_34", "id_35", "id_36", "id_37", "id_38",
+)
 
 # Names of the derived columns, in the order of the feature contract.
 AMOUNT_FEATURES = ("log_transaction_amount", "transaction_amount_capped", "amount_decimal")
@@ -138,20 +140,20 @@ CARD_PAYMENTS = TableSpec(
     addresses=("addr1", "addr2"),
     normalised=(
         "ProductCD",
-        *numbered("card", 1, 2, 3, 4, 5, 6),
+        "card1", "card2", "card3", "card4", "card5", "card6",
         "addr1",
         "addr2",
         "P_emaildomain",
         "R_emaildomain",
         "DeviceType",
         "DeviceInfo",
-        *numbered("M", *range(1, 10)),
-        *numbered("id_", 12, 15, 16, 23, 27, 28, 29, 30, 31, 33, 34, 35, 36, 37, 38),
+        "M1", "M2", "M3", "M4", "M5", "M6", "M7", "M8", "M9",
+        *IDENTITY_TEXT_FIELDS,
     ),
     watched=(
         "TransactionAmt",
         "ProductCD",
-        *numbered("card", 1, 2, 3, 4, 5, 6),
+        "card1", "card2", "card3", "card4", "card5", "card6",
         "addr1",
         "addr2",
         "P_emaildomain",
@@ -160,10 +162,12 @@ CARD_PAYMENTS = TableSpec(
         "DeviceInfo",
         "dist1",
         "dist2",
-        *numbered("C", 1, 2, 3),
-        *numbered("D", 1, 2, 3),
+        "C1", "C2", "C3", "D1", "D2", "D3",
+    ),
+    extra_numeric=(
+        "C1", "C2", "C3", "C4", "C5", "C6", "C7", "C8", "C9", "C10", "C11", "C12", "C13", "C14",
+        "D1", "D2", "D3", "D4", "D5", "D10", "D15",
     ),
-    extra_numeric=(*numbered("C", *range(1, 15)), *numbered("D", 1, 2, 3, 4, 5, 10, 15)),
     extra_categorical=("M4",),
     amount_scale=3,
 )

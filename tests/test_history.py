@@ -113,3 +113,15 @@ def test_unlabelled_rows_see_the_labelled_ones(spark):
 def test_no_join_without_hot_keys(spark):
     plan = add_history(frame(spark, FOUR), SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_large_equal_amounts_and_rows_without_time(spark):
+    """The spread of large amounts does not cancel, and chunks give what one window gives, with NULL times and a NaN amount."""
+    rows = [(i, None if i % 7 == 0 else i // 3, 30_000_000.0 + (i % 2) / 100, "k", "k", "k") for i in range(60)]
+    rows.append((60, 5, float("nan"), "k", "k", "k"))
+    df = spark.createDataFrame(rows, SCHEMA.replace("decimal(18,2)", "double"))
+    columns = [c for c in add_history(df, SPEC).columns if c != "amount"]
+    whole = {r.transaction_id: r for r in add_history(df, SPEC).select(columns).collect()}
+    assert whole == {r.transaction_id: r for r in add_history(df, SPEC, rows_per_task=8).select(columns).collect()}
+    last = max(whole.values(), key=lambda r: r.prior_card_transaction_count)
+    assert abs(last.prior_card_amount_stddev - 0.005) < 0.0002

@@ -200,3 +200,12 @@ def test_histories_of_interleaved_tables_do_not_leak(spark):
     apart = prepare(joined["train"], joined["test"], spec, options).features.filter("labelled").select(*names)
     mixed = prepare(joined["train"], early, spec, options).features.filter("labelled").select(*names)
     assert apart.exceptAll(mixed).isEmpty() and mixed.exceptAll(apart).isEmpty()
+
+
+def test_import_of_ids_that_are_no_bigints(spark):
+    ids = ["NaN", "1e30", "12.7", "9007199254740993", "12.0", "Infinity", "x", "", None, "-5"]
+    raw = spark.createDataFrame([(i, "1.5") for i in ids] + [("77", "NaN"), ("78", "Infinity")], "id string, amount string")
+    from riskframe.sources.batch_import import quarantined_rows, valid_rows
+
+    assert {r.id for r in valid_rows(raw, "id", "amount").collect()} == {9007199254740993, 12, -5}
+    assert quarantined_rows(raw, "id", "amount").count() == len(ids) + 2 - 3
