@@ -19,6 +19,9 @@ REACH = 6.0
 #: Documents that a language needs for bands of its own; others take the bands of all documents.
 LEAST = 30
 
+#: Languages whose bands are broadcast at most; more are joined by a shuffle.
+MOST_SENT = 10_000
+
 #: Relative error of the quartiles: 1 / ACCURACY.
 ACCURACY = 10_000
 
@@ -122,7 +125,9 @@ def judge(documents: DataFrame, path: str) -> DataFrame:
     figures = materialise(figures.withColumn("base_failed", failed), "figures")
     passed = figures.filter(~F.col("base_failed")).withColumn("group", F.coalesce("lang", F.lit("")))
     # One row per language, and one row.
-    own = _bands(passed, ["group"]).select("group", F.struct("*").alias("own"))
+    own = materialise(_bands(passed, ["group"]).select("group", F.struct("*").alias("own")), "bands")
+    if own.count() <= MOST_SENT:
+        own = F.broadcast(own)
     of_all = _bands(passed.withColumn("every", F.lit(1)), ["every"]).select(F.struct("*").alias("of_all"), "every")
     rows = figures.withColumn("group", F.coalesce("lang", F.lit(""))).withColumn("every", F.lit(1))
     rows = rows.join(own, "group", "left").join(F.broadcast(of_all), "every", "left")
