@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import quality_bayes, secret_lexer, simhash, spans, winnowing
-from riskframe.llm.queries import good_labels
+from riskframe.llm.queries import ASPECTS, aspect_labels
 from riskframe.session import materialise
 
 #: Names of the helper columns; no table of documents is expected to have such.
@@ -22,8 +22,8 @@ def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    labels = good_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality_bayes.classify(docs, labels)
+    labels = aspect_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality_bayes.classify(docs, labels, ASPECTS)
     return _without(docs, materialise(judged.filter(~F.col("accepted")), "rejected"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import log
+from operator import and_, mul
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,14 @@ from riskframe.session import materialise
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id and text.
 FIT_ROWS = 20_000
 
-#: Hash buckets of the words that a document has.
-BUCKETS = 1 << 14
+#: Hash buckets of the words that a document has: so many that few words of a long text share one.
+BUCKETS = 1 << 18
+
+#: Marks that a figure of a text can have.
+STEPS = 25
+
+#: Penalty on the weights. It is on their absolute values, so that a few telling words keep theirs in a long text of others.
+PENALTY = 0.0003
 
 #: Documents of prior weight at least and at most; in between it is fitted to how much the sites differ.
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1_000.0
@@ -29,9 +37,9 @@ ACCEPT = 0.5
 
 @dataclass(frozen=True)
 class Fitted:
-    """The document classifier, and the share of good documents it was fitted at."""
+    """A classifier for each aspect that varies, and the share of good documents among the labelled."""
 
-    model: PipelineModel | None
+    models: dict[str, LogisticRegressionModel]
     share: float
 
 
@@ -39,69 +47,80 @@ def _per(count: Column, of: Column) -> Column:
     return (count / F.greatest(of, F.lit(1))).cast("double")
 
 
-def with_figures(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns``, the lower-cased ``text``, and figures of the whole text as columns ``figure_*``."""
+def _steps(name: str, value: Column, height: float) -> Column:
+    """A mark for each of ``STEPS`` equal steps that the value reaches on its way to ``height``: weights of marks add up to a curve."""
+    reached = F.least(F.floor(value / height * STEPS), F.lit(STEPS)).cast("int")
+    return F.slice(F.array(*[F.lit(f"{name}>{i}") for i in range(STEPS)]), F.lit(1), F.greatest(reached, F.lit(0)))
+
+
+def with_features(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``features``: which words, and which marks of figures of the whole text, a document has."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.length(text)
-    rows = documents.select(*columns, text.alias("text"), size.alias("size"))
+    rows = documents.select(*columns, text.alias("text"), F.length(text).alias("size"))
+    rows = rows.withColumn("lines", F.array_remove(F.split("text", "\n"), ""))
 
     def share(pattern: str) -> Column:
         return _per(F.col("size") - F.length(F.regexp_replace("text", pattern, "")), F.col("size"))
 
-    lines = F.array_remove(F.split("text", "\n"), "")
-    rows = rows.withColumns({"lines": lines})
-    return rows.select(
-        *columns,
-        F.lower("text").alias("text"),
-        F.log1p(F.col("size").cast("double")).alias("figure_size"),
-        share("[^#*$%&|<>!]+").alias("figure_plain"),
-        share(r"\p{Lu}+").alias("figure_upper"),
-        share("[0-9]+").alias("figure_digits"),
-        share(r"\s+").alias("figure_blank"),
-        share("[.,;:?]+").alias("figure_stops"),
-        _per(F.size(F.array_distinct("lines")), F.size("lines")).alias("figure_new_lines"),
-        _per(F.size("lines"), F.col("size") / 100).alias("figure_lines"),
-    )
+    # A mark has a sign that no word has.
+    marks = [
+        _steps("size", F.log1p(F.col("size").cast("double")), 15),
+        _steps("other", share("[#*$%&|<>!]+"), 0.5),
+        _steps("upper", share(r"\p{Lu}+"), 0.5),
+        _steps("digits", share("[0-9]+"), 0.5),
+        _steps("blank", share(r"\s+"), 0.5),
+        _steps("stops", share("[.,;:?]+"), 0.2),
+        _steps("new_lines", _per(F.size(F.array_distinct("lines")), F.size("lines")), 1),
+        _steps("lines", _per(F.size("lines"), F.col("size") / 100), 5),
+    ]
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
+    rows = rows.select(*columns, F.concat(words, *marks).alias("terms"))
+    return HashingTF(inputCol="terms", outputCol="features", numFeatures=BUCKETS, binary=True).transform(rows).drop("terms")
 
 
-FIGURES = ["size", "plain", "upper", "digits", "blank", "stops", "new_lines", "lines"]
+def known_labels(labels: DataFrame, aspects: Sequence[str]) -> DataFrame:
+    """One row per labelled document: ``is_*`` for each aspect (0.0 or 1.0) and ``good``, 1.0 if all are. A document labelled twice has the higher ones."""
+    named = [F.max(a).cast("double").alias(f"is_{a}") for a in aspects]
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(*named)
+    good = reduce(and_, [F.col(f"is_{a}") == 1 for a in aspects])
+    return known.withColumn("good", good.cast("double")).filter("good is not null")
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Fitted:
-    """Logistic regression over text figures and the words a document has, from at most about ``fit_rows`` labelled documents.
+def fit(documents: DataFrame, labels: DataFrame, aspects: Sequence[str], fit_rows: int = FIT_ROWS) -> Fitted:
+    """For each aspect a logistic regression over the words a document has and the figures of its text, from at most about ``fit_rows`` labelled documents.
 
-    ``labels`` has ``doc_id`` and ``good`` (0 or 1, NULL is left out). With one class only there is no model, and no evidence.
+    Aspects are fitted apart because what speaks against them differs: junk shows in the figures, abuse in a
+    few words. An aspect of one class only has no model, and gives no evidence.
     """
-    known = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").cast("double").alias("good"))
+    known = known_labels(labels, aspects)
     size = known.count()
     if size > fit_rows:  # a hash below the share wanted: the same rows on every run
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / size))
-    rows = with_figures(documents.join(known, "doc_id"), ["good"])
-    rows = materialise(rows, "labelled")
-    counts = {r.good: r["count"] for r in rows.groupBy("good").count().collect()}
-    n, good = sum(counts.values()), counts.get(1.0, 0)
-    share = (good + 1) / (n + 2)
-    if good in (0, n):
-        return Fitted(None, share)
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}]+", toLowercase=False),
-        HashingTF(inputCol="words", outputCol="hashed", numFeatures=BUCKETS, binary=True),
-        VectorAssembler(inputCols=[f"figure_{f}" for f in FIGURES], outputCol="figures"),
-        StandardScaler(inputCol="figures", outputCol="scaled", withMean=True),
-        VectorAssembler(inputCols=["scaled", "hashed"], outputCol="features"),
-        # Buckets aren't scaled by their spread: a rare word is as much evidence as it is.
-        LogisticRegression(labelCol="good", maxIter=60, regParam=0.002, standardization=False),
-    ]
-    return Fitted(Pipeline(stages=stages).fit(rows), share)
+    labelled = documents.select("doc_id", "text").join(known, "doc_id")
+    named = [*[f"is_{a}" for a in aspects], "good"]
+    rows = materialise(with_features(labelled, named), "labelled")
+    sums = rows.agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in named]).first()
+    models = {}
+    for a in aspects:
+        if sums[f"is_{a}"] not in (None, 0, sums["rows"]):
+            # Buckets aren't scaled by their spread: a rare word is as much evidence as it is.
+            learner = LogisticRegression(labelCol=f"is_{a}", maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False)
+            models[a] = learner.fit(rows)
+    return Fitted(models, ((sums["good"] or 0) + 1) / (sums["rows"] + 2))
 
 
 def evidence(documents: DataFrame, fitted: Fitted, columns: list[str]) -> DataFrame:
-    """``columns`` and ``evidence``: the log likelihood ratio of good against bad for the document alone."""
-    if fitted.model is None:
+    """``columns`` and ``evidence``: the log likelihood ratio of good against bad for the document alone.
+
+    A document is good with the product of its probabilities of the aspects.
+    """
+    if not fitted.models:
         return documents.select(*columns, F.lit(0.0).alias("evidence"))
-    rows = fitted.model.transform(with_figures(documents, columns))
-    margin = vector_to_array("rawPrediction")[1]
-    return rows.select(*columns, (margin - log(fitted.share / (1 - fitted.share))).alias("evidence"))
+    rows = with_features(documents, columns)
+    for a, model in fitted.models.items():
+        rows = model.copy().setProbabilityCol(f"of_{a}").setRawPredictionCol("").setPredictionCol("").transform(rows)
+    good = reduce(mul, [vector_to_array(f"of_{a}")[1] for a in fitted.models])
+    return rows.select(*columns, (_logit(good) - log(fitted.share / (1 - fitted.share))).alias("evidence"))
 
 
 def _logit(p: Column) -> Column:
@@ -147,19 +166,22 @@ def posteriors(scored: DataFrame) -> DataFrame:
     return joined.select("host", "path", "host_share", shrunk.alias("path_share"))
 
 
-def classify(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, accept: float = ACCEPT) -> DataFrame:
+def classify(
+    documents: DataFrame, labels: DataFrame, aspects: Sequence[str] = ("good",), fit_rows: int = FIT_ROWS, accept: float = ACCEPT
+) -> DataFrame:
     """``doc_id``, ``text_hash``, ``evidence``, ``host_share``, ``path_share``, ``posterior`` and ``accepted`` of each row.
 
-    A document's host is its ``source``, its path the source and ``lang``; NULLs are values
+    ``labels`` has ``doc_id`` and the ``aspects``, 0 or 1; a document is good if all its aspects are 1. One with
+    a NULL aspect is bad if another is 0, else unlabelled. A document's host is its ``source``, its path the source and ``lang``; NULLs are values
     of their own. The posterior odds are those of the path times the evidence of the whole text. A NULL
     text counts as empty. Without labels of both kinds the evidence is nothing and the site decides.
     """
-    fitted = fit(documents, labels, fit_rows)
+    fitted = fit(documents, labels, aspects, fit_rows)
     named = documents.select(
         "doc_id", "text", F.xxhash64("text").alias("text_hash"), F.col("source").alias("host"), F.col("lang").alias("path")
     )
     scored = evidence(named, fitted, ["doc_id", "text_hash", "host", "path"])
-    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("good").cast("double").alias("good"))
+    known = known_labels(labels, aspects).select("doc_id", "good")
     scored = materialise(scored, "evidence")
     sites = posteriors(scored.join(known, "doc_id", "left"))
     joined = scored.join(sites, scored["host"].eqNullSafe(sites["host"]) & scored["path"].eqNullSafe(sites["path"]))

@@ -28,15 +28,19 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def good_labels(labels: DataFrame) -> DataFrame:
-    """A document is good if it is of quality and not toxic."""
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    return labels.select("doc_id", good.cast("int").alias("good"))
+#: What a document has to be to be good.
+ASPECTS = ("quality", "harmless")
+
+
+def aspect_labels(labels: DataFrame) -> DataFrame:
+    """``quality`` as labelled, and ``harmless``: not labelled toxic."""
+    harmless = F.coalesce("toxic", F.lit(0)) == 0
+    return labels.select("doc_id", "quality", harmless.cast("int").alias("harmless"))
 
 
 def op1_quality_bayes(spark: SparkSession, folder: str) -> DataFrame:
-    labels = good_labels(_read(spark, folder, "labels"))
-    return quality_bayes.classify(_read(spark, folder, "documents"), labels).drop("text_hash")
+    labels = aspect_labels(_read(spark, folder, "labels"))
+    return quality_bayes.classify(_read(spark, folder, "documents"), labels, ASPECTS).drop("text_hash")
 
 
 def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:

@@ -282,13 +282,13 @@ def test_fertility_base_figures(odd, none):
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    labels = queries.good_labels(spark.read.parquet(f"{folder}/labels.parquet"))
-    judged = quality_bayes.classify(docs, labels.filter("doc_id % 4 <> 0"))
-    rows = judged.join(labels.filter("doc_id % 4 = 0"), "doc_id").select("accepted", "good").collect()
-    good = [r.accepted for r in rows if r.good == 1]
+    labels = queries.aspect_labels(spark.read.parquet(f"{folder}/labels.parquet"))
+    judged = quality_bayes.classify(docs, labels.filter("doc_id % 4 <> 0"), queries.ASPECTS)
+    rows = judged.join(labels.filter("doc_id % 4 = 0"), "doc_id").select("accepted", "quality", "harmless").collect()
+    good = [r.accepted for r in rows if r.quality == r.harmless == 1]
     assert judged.count() == docs.count()
     assert sum(good) >= 0.95 * len(good)
-    assert sum(r.accepted == (r.good == 1) for r in rows) >= 0.8 * len(rows)
+    assert sum(r.accepted == (r.quality == r.harmless == 1) for r in rows) >= 0.8 * len(rows)
 
 
 def test_quality_without_labels_and_rows(spark, odd, none):
@@ -297,6 +297,18 @@ def test_quality_without_labels_and_rows(spark, odd, none):
     assert quality_bayes.classify(none, labels.limit(0)).count() == 0
 
 
+def test_a_few_words_speak_against_a_long_text(spark):
+    """Held-out texts of 2,000 words with one abusive word are rejected, the others are not."""
+    filler = [" ".join(f"{chr(97 + (i * j) % 26)}{chr(97 + (i + j) % 26)}word" for j in range(2_000)) for i in range(240)]
+    texts = [(i, f"{t} nastyword {t}" if i % 3 == 0 else f"{t} {t}") for i, t in enumerate(filler)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in texts], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame(
+        [(i, None if i == 1 else 1, int(i % 3 > 0)) for i, _ in texts if i < 160], "doc_id bigint, quality int, harmless int"
+    )
+    judged = {r.doc_id: r.accepted for r in quality_bayes.classify(docs, labels, ("quality", "harmless")).collect()}
+    assert {i: a for i, a in judged.items() if i >= 160} == {i: i % 3 > 0 for i in range(160, 240)}
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd):
     kept = corpus_pipeline.near_duplicates(spark, odd, FOLDER)
     assert kept.dtypes == odd.dtypes
