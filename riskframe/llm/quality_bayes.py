@@ -20,7 +20,7 @@ from riskframe.session import materialise
 FIT_ROWS = 20_000
 
 #: Hash buckets of the words that a document has: so many that few words of a long text share one.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 
 #: Marks that a figure of a text can have.
 STEPS = 25
