@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     # Rows alike in id and text are counted with map-side merging; only where there are any is one chosen.
-    alike = found.groupBy("component_id", "fingerprint", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    chosen = alike.groupBy("component_id", "fingerprint").agg(first, F.min_by("rows", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rows"))
-    chosen = chosen.groupBy("component_id").agg(F.min(F.struct("first", "rows")).alias("kept"))
+    alike = found.groupBy("component", "fingerprint", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    chosen = alike.groupBy("component", "fingerprint").agg(first, F.min_by("rows", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rows"))
+    chosen = chosen.groupBy("component").agg(F.min(F.struct("first", "rows")).alias("kept"))
     stays = chosen.select(F.col("kept.first.doc_id").alias(ID), F.col("kept.first.text_hash").alias(TEXT), F.col("kept.rows").alias(ROWS))
     stays = materialise(stays, "stays")
 

@@ -204,9 +204,10 @@ def links(values: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFram
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``fingerprint`` (bigint) and ``component_id``: the least doc_id reachable over links of at most ``radius`` bits.
+    """``doc_id``, ``text_hash``, ``fingerprint`` (bigint), ``component_id``: the least doc_id reachable over links of at most ``radius`` bits, and ``component``.
 
-    One row for each row. Equal fingerprints are one node, so copies cost
+    ``component`` is the component's own key, its least fingerprint: documents are in one component exactly if it is equal, which
+    does not hold of ``component_id`` where doc_ids are repeated or NULL. One row for each row. Equal fingerprints are one node, so copies cost
     nothing beyond their own row. NULL and empty texts have fingerprint 0 and are
     linked like any other. A NULL doc_id is never the least; a component of such rows only has a NULL component_id.
     """
@@ -217,6 +218,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SE
     linked = tagged.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("least_doc").alias("component_least"))
     # Most fingerprints have no link: only linked ones look up their component.
     found = tagged.join(linked, "label", "left").select(
-        "fingerprint", F.when(F.col("label").isNull(), F.col("least_doc")).otherwise(F.col("component_least")).alias("component_id")
+        "fingerprint",
+        F.when(F.col("label").isNull(), F.col("least_doc")).otherwise(F.col("component_least")).alias("component_id"),
+        F.coalesce("label", "fingerprint").alias("component"),
     )
-    return prints.join(found, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
+    return prints.join(found, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "component")

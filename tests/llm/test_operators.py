@@ -319,6 +319,15 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
     assert out.count() == len(ODD)
 
 
+def test_pipeline_keeps_unrelated_texts_without_an_id_of_their_own(spark):
+    """Of NULL ids, and of an id with two texts, each unrelated text stays; copies still go."""
+    one, two, three, four = (" ".join(f"{x}{i}" for i in range(60)) for x in ("red", "oak", "sea", "ink"))
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (8, four), (None, three)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 9, "x", 1) for d, t in rows], SCHEMA)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect())
+    assert kept == Counter([(None, one), (None, two), (7, three), (7, four)])
+
+
 def test_pipeline_keeps_what_no_stage_rejects(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
