@@ -13,11 +13,15 @@ from riskframe.session import materialise
 #: Symbol characters, and the white space that separates words.
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\v\f\r"
 
-#: A measure is rejected beyond this many quartile ranges from the quartiles of its language.
-REACH = 6.0
+#: A measure is rejected beyond this many deviations from the median of its language, on the side that has a meaning. A
+#: deviation is the distance from the median to that side's quartile, over that of a normal distribution.
+REACH, QUARTILE = 3.0, 0.6745
 
-#: Documents that a language needs for bands of its own; others take the bands of all documents.
-LEAST = 30
+#: A deviation is this much at least: most languages may have no byte pieces at all, say.
+LEAST = 0.0025
+
+#: Documents at the median and deviations of all languages that are added to each language's own.
+PRIOR = 30.0
 
 #: Languages whose bands are broadcast at most; more are joined by a shuffle.
 MOST_SENT = 10_000
@@ -25,7 +29,8 @@ MOST_SENT = 10_000
 #: Relative error of the quartiles: 1 / ACCURACY.
 ACCURACY = 10_000
 
-MEASURES = ("chars_per_token", "byte_share", "evenness")
+#: Which sides reject: texts in pieces too small or too large, too many single bytes, too few different tokens.
+MEASURES = {"chars_per_token": ("low", "high"), "byte_share": ("high",), "evenness": ("low",)}
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> int:
@@ -85,21 +90,29 @@ def measure(text: str, model: Aligned) -> tuple:
 
 
 def _bands(figures: DataFrame, by: list[str]) -> DataFrame:
-    """Lower and upper bound of each measure, from the quartiles of all documents that pass the base rules."""
-    wanted = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), F.lit(ACCURACY)).alias(m) for m in MEASURES]
+    """Median, and deviations below and above it, of each measure, from all documents that pass the base rules."""
+    wanted = [F.percentile_approx(m, F.array(*map(F.lit, (0.25, 0.5, 0.75))), F.lit(ACCURACY)).alias(m) for m in MEASURES]
     rows = figures.groupBy(*by).agg(F.count("*").alias("n_group"), *wanted)
-    bounds = []
+    fitted = []
     for m in MEASURES:
-        low, high = F.col(m)[0], F.col(m)[1]
-        # A range of zero (no byte pieces at all, say) still leaves room for some.
-        room = REACH * F.greatest(high - low, F.lit(0.02))
-        bounds += [(low - room).alias(f"{m}_low"), (high + room).alias(f"{m}_high")]
-    return rows.select(*by, "n_group", *bounds)
+        low, middle, high = (F.col(m)[i] for i in range(3))
+        fitted += [middle.alias(m), ((middle - low) / QUARTILE).alias(f"{m}_low"), ((high - middle) / QUARTILE).alias(f"{m}_high")]
+    return rows.select(*by, "n_group", *fitted)
+
+
+def _within() -> Column:
+    """All bands hold. What a language is fitted to counts by its documents, what all are fitted to as ``PRIOR`` documents."""
+    weight = F.col("own.n_group") / (F.col("own.n_group") + PRIOR)
 
+    def shrunk(name: str) -> Column:
+        return weight * F.col(f"own.{name}") + (1 - weight) * F.col(f"of_all.{name}")
 
-def _within(prefix: str) -> Column:
-    checks = [F.col(m).between(F.col(f"{prefix}.{m}_low"), F.col(f"{prefix}.{m}_high")) for m in MEASURES]
-    return F.coalesce(checks[0] & checks[1] & checks[2], F.lit(False))
+    held = F.lit(True)
+    for m, sides in MEASURES.items():
+        for side in sides:
+            beyond = F.col(m) - shrunk(m) if side == "high" else shrunk(m) - F.col(m)
+            held = held & (beyond <= REACH * F.greatest(shrunk(f"{m}_{side}"), F.lit(LEAST)))
+    return F.coalesce(held, F.lit(False))
 
 
 def judge(documents: DataFrame, path: str) -> DataFrame:
@@ -108,7 +121,8 @@ def judge(documents: DataFrame, path: str) -> DataFrame:
     Columns: ``doc_id``, ``lang``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``n_tokens``, ``chars_per_token``, ``byte_share`` (pieces that are
     single bytes), ``evenness`` (token entropy over its maximum) and ``kept``: the base rules and all bands hold.
-    Bands come from every document of the language (a NULL language is one of its own).
+    Bands come from every document of the language (a NULL language is one of its own), and the fewer
+    these are, the more from the documents of all languages.
     NULL and empty texts have no words, and fail.
     """
 
@@ -131,5 +145,4 @@ def judge(documents: DataFrame, path: str) -> DataFrame:
     of_all = _bands(passed.withColumn("every", F.lit(1)), ["every"]).select(F.struct("*").alias("of_all"), "every")
     rows = figures.withColumn("group", F.coalesce("lang", F.lit(""))).withColumn("every", F.lit(1))
     rows = rows.join(own, "group", "left").join(F.broadcast(of_all), "every", "left")
-    within = F.when(F.col("own.n_group") >= LEAST, _within("own")).otherwise(_within("of_all"))
-    return rows.select(*figures.columns, (~F.col("base_failed") & within).alias("kept"))
+    return rows.select(*figures.columns, (~F.col("base_failed") & _within()).alias("kept"))

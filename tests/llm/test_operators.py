@@ -279,6 +279,21 @@ def test_fertility_base_figures(odd, none):
     assert fertility.measure("a\n\n\na\n b\n", spans.aligned(path))[3] == 1
 
 
+def test_fertility_bands_bind(spark):
+    """Texts of small pieces and of byte pieces are rejected, in a language of 200 texts and in one of few; ordinary texts stay."""
+    rng = np.random.default_rng(3)
+    known = "the of people year government water number system house world school market family company night".split()
+    texts = [(i, " ".join(rng.choice(known, 150)), "en" if i < 200 else "xx") for i in range(203)]
+    pieces = " ".join("qxzjvkw"[i % 7 :] + "zqj"[: i % 3] + chr(97 + i % 26) + "xkq" for i in range(150))
+    odd = [pieces, " ".join([*rng.choice(known, 147), *["\U0001f9ff"] * 3])]  # words of small pieces; three signs of single bytes
+    rows = texts + [(1000 + 10 * j + k, t, lang) for j, lang in enumerate(("en", "xx")) for k, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    judged = {r.doc_id: r for r in fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert not any(judged[i].base_failed for i in judged)
+    assert [i for i in judged if i >= 1000 and judged[i].kept] == []
+    assert sum(judged[i].kept for i in range(203)) >= 190
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
