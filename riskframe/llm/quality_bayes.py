@@ -9,7 +9,7 @@ from math import log
 from operator import and_, mul
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +19,6 @@ from riskframe.session import materialise
 #: Labelled documents that the classifier is fitted on at most, chosen by a hash of their id and text.
 FIT_ROWS = 20_000
 
-#: Hash buckets of the words that a document has: so many that few words of a long text share one.
-BUCKETS = 1 << 16
-
 #: Marks that a figure of a text can have.
 STEPS = 25
 
@@ -37,10 +34,11 @@ ACCEPT = 0.5
 
 @dataclass(frozen=True)
 class Fitted:
-    """A classifier for each aspect that varies, and the share of good documents among the labelled."""
+    """A classifier for each aspect that varies, the share of good documents among the labelled, and the terms that have weights."""
 
     models: dict[str, LogisticRegressionModel]
     share: float
+    known: CountVectorizerModel | None
 
 
 def _per(count: Column, of: Column) -> Column:
@@ -53,8 +51,8 @@ def _steps(name: str, value: Column, height: float) -> Column:
     return F.slice(F.array(*[F.lit(f"{name}>{i}") for i in range(STEPS)]), F.lit(1), F.greatest(reached, F.lit(0)))
 
 
-def with_features(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` and ``features``: which words, and which marks of figures of the whole text, a document has."""
+def with_terms(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``terms``: which words, and which marks of figures of the whole text, a document has."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(*columns, text.alias("text"), F.length(text).alias("size"))
     rows = rows.withColumn("lines", F.array_remove(F.split("text", "\n"), ""))
@@ -74,8 +72,18 @@ def with_features(documents: DataFrame, columns: list[str]) -> DataFrame:
         _steps("lines", _per(F.size("lines"), F.col("size") / 100), 5),
     ]
     words = F.split(F.lower("text"), r"[^\p{L}]+")
-    rows = rows.select(*columns, F.concat(words, *marks).alias("terms"))
-    return HashingTF(inputCol="terms", outputCol="features", numFeatures=BUCKETS, binary=True).transform(rows).drop("terms")
+    return rows.select(*columns, F.concat(words, *marks).alias("terms"))
+
+
+def telling(rows: DataFrame, n: int) -> CountVectorizerModel:
+    """A place of its own for each term that can have a weight, of the ``n`` fitted ``rows``.
+
+    A term's slope is at most its share of the rows, so one in no larger share than ``PENALTY`` has
+    the weight 0 at the optimum, and is left out without a loss. What is left is at most a row's mean number of terms over ``PENALTY``.
+    """
+    counts = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
+    terms = sorted(r.term for r in counts.filter(F.col("count") > PENALTY * n).select("term").collect())
+    return CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="features", binary=True)
 
 
 def known_labels(labels: DataFrame, aspects: Sequence[str]) -> DataFrame:
@@ -98,15 +106,18 @@ def fit(documents: DataFrame, labels: DataFrame, aspects: Sequence[str], fit_row
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / size))
     labelled = documents.select("doc_id", "text").join(known, "doc_id")
     named = [*[f"is_{a}" for a in aspects], "good"]
-    rows = materialise(with_features(labelled, named), "labelled")
+    rows = materialise(with_terms(labelled, named), "labelled")
     sums = rows.agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in named]).first()
-    models = {}
-    for a in aspects:
-        if sums[f"is_{a}"] not in (None, 0, sums["rows"]):
-            # Buckets aren't scaled by their spread: a rare word is as much evidence as it is.
+    models, known_terms = {}, None
+    varied = [a for a in aspects if sums[f"is_{a}"] not in (None, 0, sums["rows"])]
+    if varied:
+        known_terms = telling(rows, sums["rows"])
+        rows = materialise(known_terms.transform(rows).drop("terms"), "features")
+        for a in varied:
+            # Terms aren't scaled by their spread: a rare word is as much evidence as it is.
             learner = LogisticRegression(labelCol=f"is_{a}", maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False)
             models[a] = learner.fit(rows)
-    return Fitted(models, ((sums["good"] or 0) + 1) / (sums["rows"] + 2))
+    return Fitted(models, ((sums["good"] or 0) + 1) / (sums["rows"] + 2), known_terms)
 
 
 def evidence(documents: DataFrame, fitted: Fitted, columns: list[str]) -> DataFrame:
@@ -116,7 +127,7 @@ def evidence(documents: DataFrame, fitted: Fitted, columns: list[str]) -> DataFr
     """
     if not fitted.models:
         return documents.select(*columns, F.lit(0.0).alias("evidence"))
-    rows = with_features(documents, columns)
+    rows = fitted.known.transform(with_terms(documents, columns)).drop("terms")
     for a, model in fitted.models.items():
         rows = model.copy().setProbabilityCol(f"of_{a}").setRawPredictionCol("").setPredictionCol("").transform(rows)
     good = reduce(mul, [vector_to_array(f"of_{a}")[1] for a in fitted.models])

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -324,6 +325,21 @@ def test_a_few_words_speak_against_a_long_text(spark):
     assert {i: a for i, a in judged.items() if i >= 160} == {i: i % 3 > 0 for i in range(160, 240)}
 
 
+def test_words_of_one_hash_bucket_speak_apart(spark):
+    """An abusive and a harmless word that share one of 65,536 hash buckets keep a weight each."""
+    table, buckets = HashingTF(numFeatures=1 << 16), {}
+    for i in range(26**3):
+        word = "zq" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+        harmless = buckets.setdefault(table.indexOf(word), word)
+        if harmless != word:
+            break
+    rows = [(i, f"some plain text {harmless if i % 2 else word}", "en", "a") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(160)], "doc_id bigint, quality int, harmless int")
+    judged = quality_bayes.classify(docs, labels, ("quality", "harmless")).collect()
+    assert {r.doc_id: r.accepted for r in judged if r.doc_id >= 160} == {i: i % 2 > 0 for i in range(160, 240)}
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd):
     kept = corpus_pipeline.near_duplicates(spark, odd, FOLDER)
     assert kept.dtypes == odd.dtypes
