@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from riskframe.llm import (
     fertility,
     page_text,
+    periodic_runs,
     quality_bayes,
     secret_lexer,
     simhash,
     spans,
     token_counts,
     token_files,
+    toxicity,
     url_templates,
+    whitening,
     winnowing,
 )
 
@@ -101,6 +104,43 @@ def op10_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.judge(_read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run of repeated words of each document, the longest one, and what stays without the repeats.
+
+    One row per document row. NULL and empty texts have no words and no runs: four NULLs and the digests of empty strings. A row
+    without doc_id has no planted period.
+    """
+    found = periodic_runs.find_runs(_read(spark, folder, "documents"), ["doc_id"], prepare=periodic_runs.planted)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short")))
+    best = F.try_element_at(F.array_sort(ranked), F.lit(-1))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.short")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.before")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of each document, learned from the labels that are not held out.
+
+    One row per document row. NULL and empty texts score what a text without any telling word does; a row without doc_id is scored and not held out.
+    """
+    return toxicity.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components of each vector, as ``whitening.whiten`` defines them for broken, repeated and equal vectors."""
+    return whitening.components(whitening.whiten(_read(spark, folder, "embeddings"), ["vec_id"]), ["vec_id"])
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_page_text,
         op10_fertility,
+        op11_periodic_runs,
+        op12_toxicity,
+        op13_whitening,
         pipeline,
     )
 }
