@@ -48,16 +48,32 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def minor_units(amount: str | Column, scale: int) -> Column:
-    """The amount as a whole number of its smallest unit, for exact sums. NaN and infinite amounts are unknown."""
+def finite(amount: str | Column) -> Column:
+    """The amount, or NULL where it is NaN or infinite."""
     column = F.col(amount) if isinstance(amount, str) else amount
     value = column.cast("double")
-    column = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), column)
-    return F.round(column * F.lit(10**scale), 0).cast("bigint")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), column)
+
+
+def minor_units(amount: str | Column, scale: int) -> Column:
+    """The amount as a whole number of its smallest unit, for exact sums. NaN and infinite amounts are unknown."""
+    return F.round(finite(amount) * F.lit(10**scale), 0).cast("bigint")
+
+
+def exact_amount(amount: str | Column) -> Column:
+    """The amount as a decimal of nine places, for exact sums of amounts whose decimals aren't known."""
+    return finite(amount).cast("decimal(28,9)")
+
+
+def exact_units(amount: str | Column) -> Column:
+    """The amount in whole billionths."""
+    return (exact_amount(amount) * F.lit(10**9)).cast("decimal(38,0)")
 
 
-def major_units(minor: Column, scale: int) -> Column:
-    return minor / F.lit(float(10**scale))
+def fits_scale(amount: str | Column, scale: int) -> Column:
+    """Whether the amount has no more than ``scale`` decimals; unknown amounts do."""
+    exact = exact_amount(amount)
+    return F.coalesce(exact == F.round(exact, scale), F.lit(True))
 
 
 def normalised(column: str) -> Column:

@@ -1,143 +1,255 @@
 """Point-in-time entity history: what was known about an entity strictly before a row.
 
 Each history is a running window over one entity key. A key that holds more
-rows than one task should sort is cut into time chunks: the chunk totals are
-summed over a small table, and the running window is taken inside the chunk.
-Both paths give the same numbers; cold keys use one chunk and no join partner.
+rows than one task should sort is cut into chunks of at most so many rows, by
+time and then by id; the chunk totals are summed over a small table, and the
+running window is taken inside the chunk. Both paths give the same numbers;
+cold keys use one chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.rowwise import major_units, minor_units
+from riskframe.functions.rowwise import exact_units, fits_scale, minor_units
+from riskframe.session import materialise
 from riskframe.spec import TableSpec
 
 ENTITIES = ("card", "email", "device")
 ROWS_PER_TASK = 5_000_000
-CHUNKS_PER_TASK = 16
-MOST_BROADCAST_KEYS = 20_000
+#: A key above the limit is first cut into so many slices for each limit it holds; a slice above the limit is cut again.
+SLICES_PER_TASK = 16
+MOST_SLICES = 1024
 
+#: Squares of whole amounts up to this size fit 64 bits.
+MOST_NARROW = 3_037_000_499
+HALF = 1 << 32
 
-def hot_keys(df: DataFrame, spec: TableSpec, entities: Sequence[str], rows_per_task: int) -> DataFrame:
-    """Entity keys above ``rows_per_task`` rows with their time span.
+WHOLE = "decimal(38,0)"
 
-    One pass for all entities with map-side combine. The result holds at most
-    ``len(entities) * rows / rows_per_task`` rows.
+
+@dataclass(frozen=True)
+class Units:
+    """How amounts are added exactly: as 64-bit whole numbers of ``scale`` decimals, or else as decimals."""
+
+    scale: int
+    narrow: bool
+
+    def of(self, spec: TableSpec) -> Column:
+        return minor_units(spec.amount, self.scale) if self.narrow else exact_units(spec.amount)
+
+    def major(self, minor: Column) -> Column:
+        return minor.cast("double") / F.lit(float(10**self.scale))
+
+
+@dataclass(frozen=True)
+class Chunks:
+    """Hot keys cut up: the slices of each level that are cut again, and what every chunk adds to.
+
+    ``levels`` have ``entity``, ``key``, ``path`` (the slices chosen so far), ``by_id``, ``low`` and ``width``;
+    ``before`` has ``entity``, ``key``, ``path`` and the sums of all earlier chunks of the key.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(e).alias("entity"), F.col(f"{e}_entity_key").alias("key")) for e in entities]
+
+    levels: tuple[DataFrame, ...]
+    before: DataFrame
+    entities: frozenset[str]
+
+
+def _place(column: str, df: DataFrame) -> Column:
+    """The column as a whole number to cut by; NULL if it is of another kind, and can't be cut."""
+    whole = df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(column).cast("bigint") if whole else F.lit(None).cast("bigint")
+
+
+def _cuts(counted: DataFrame, limit: int) -> DataFrame:
+    """From counted slices (``rows``, and the ends of time and id in them) those above the limit that can be cut, with how."""
+
+    def span(low: str, high: str) -> Column:
+        return (F.col(high).cast("decimal(20,0)") - F.col(low).cast("decimal(20,0)")).cast("double")
+
+    by_id = ~F.coalesce(F.col("first") < F.col("last"), F.lit(False))
+    slices = F.least(F.greatest(F.ceil(F.col("rows") * SLICES_PER_TASK / limit), F.lit(2)), F.lit(MOST_SLICES))
+    cut = counted.filter(
+        (F.col("rows") > limit) & (F.coalesce(F.col("first") < F.col("last"), F.lit(False)) | F.coalesce(F.col("least") < F.col("most"), F.lit(False)))
     )
-    return (
-        df.select(F.explode(pairs).alias("pair"), F.col(spec.time).alias("time"))
-        .groupBy("pair.entity", "pair.key")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("time").alias("first"), F.max("time").alias("last"))
-        .filter(F.col("rows") > rows_per_task)
-        .withColumn("chunks", F.ceil(F.col("rows") * CHUNKS_PER_TASK / rows_per_task))
-        .select(
-            "entity",
-            "key",
-            F.col("first").alias("__first"),
-            F.ceil((F.col("last") - F.col("first") + 1) / F.col("chunks")).alias("__width"),
-        )
+    return cut.select(
+        "entity",
+        "key",
+        "path",
+        by_id.alias("by_id"),
+        F.when(by_id, F.col("least")).otherwise(F.col("first")).alias("low"),
+        ((F.when(by_id, span("least", "most")).otherwise(span("first", "last")) + 1) / slices).alias("width"),
     )
 
 
-def _with_chunk(df: DataFrame, entity: str, key: str, time: str, hot: DataFrame | None) -> DataFrame:
-    """Add ``__chunk``: the time slice of a hot key (0 for rows without time, which come first), -1 for every other key."""
-    if hot is None:
-        return df.withColumn("__chunk", F.lit(-1).cast("bigint"))
-    spans = hot.filter(F.col("entity") == entity).select(F.col("key").alias(key), "__first", "__width", F.lit(True).alias("__hot"))
-    slice_ = F.coalesce(F.floor((F.col(time) - F.col("__first")) / F.col("__width")) + 1, F.lit(0)).cast("bigint")
-    chunk = F.when(F.col("__hot"), slice_)
-    return (
-        df.join(spans, key, "left")
-        .withColumn("__chunk", F.coalesce(chunk, F.lit(-1).cast("bigint")))
-        .drop("__first", "__width", "__hot")
-    )
+def _counted(rows: DataFrame, *more: Column) -> DataFrame:
+    ends = [F.min("time").alias("first"), F.max("time").alias("last"), F.min("id").alias("least"), F.max("id").alias("most")]
+    return rows.groupBy("entity", "key", "path").agg(F.count(F.lit(1)).alias("rows"), *ends, *more)
+
 
+def _into(rows: DataFrame, level: DataFrame, how: str) -> DataFrame:
+    """The slice of this level is added to ``path`` of the rows whose slice is cut again. Slice -1 has the rows without a value, which come first."""
+    place = F.when(F.col("by_id"), F.col("id")).otherwise(F.col("time"))
+    # The difference is exact, so that it keeps the order and the two ends never share a slice.
+    slice_ = F.floor((place.cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")).cast("double") / F.col("width")).cast("int")
+    path = F.when(F.col("width").isNotNull(), F.concat("path", F.array(F.coalesce(slice_, F.lit(-1))))).otherwise(F.col("path"))
+    kept = rows.columns
+    return rows.join(level, ["entity", "key", "path"], how).withColumn("path", path).select(*kept)
 
-def _statistics(cents: Column, time: Column) -> dict[str, Column]:
-    """Sums that add up across chunks, as aggregates over whole minor units."""
-    return {
-        "n": F.count(F.lit(1)),
-        "known": F.count(cents),
-        "total": F.sum(cents),
-        "squares": F.sum(cents.cast("decimal(19,0)") * cents.cast("decimal(19,0)")),
-        "latest": F.max(time),
+
+def cut_hot_keys(df: DataFrame, spec: TableSpec, entities: Sequence[str], rows_per_task: int) -> tuple[Chunks | None, Units]:
+    """Chunks of the entity keys above ``rows_per_task`` rows, or None if there are none; and how their amounts add up.
+
+    One pass for all entities counts keys with map-side merging. If some are hot, their rows are written with a few columns, and
+    each further pass over those counts the slices of the ones that are too large: by time, and at equal times by
+    id. Only rows equal in time and id can share a chunk above the limit. Few passes are needed: each takes a slice's own
+    ends, so empty stretches cost nothing. Every table of slices has about rows / ``rows_per_task`` rows times ``SLICES_PER_TASK``.
+    """
+    pairs = F.array(*[F.struct(F.lit(e).alias("entity"), F.col(f"{e}_entity_key").alias("key")) for e in entities])
+    places = [_place(spec.time, df).alias("time"), _place(spec.id, df).alias("id")]
+    none = F.array().cast("array<int>").alias("path")
+    amounts = {
+        "largest": F.abs(minor_units(spec.amount, spec.amount_scale)),
+        "fine": ~fits_scale(spec.amount, spec.amount_scale),
     }
 
+    def long(table: DataFrame, **more: Column) -> DataFrame:
+        return table.select(F.explode(pairs).alias("pair"), *places, *[c.alias(n) for n, c in more.items()]).select("pair.*", "time", "id", none, *more)
+
+    keys = _counted(long(df, **amounts), *[F.max(c).alias(c) for c in amounts])
+    hot_entities = F.collect_set(F.when(F.col("rows") > rows_per_task, F.col("entity")))
+    seen = keys.agg(F.max("largest").alias("largest"), F.max("fine").alias("fine"), hot_entities.alias("hot")).first()
+    affected = frozenset(seen.hot)
+    narrow = not seen.fine and (seen.largest or 0) <= MOST_NARROW
+    units = Units(spec.amount_scale, True) if narrow else Units(9, False)
+    if not affected:
+        return None, units
+    hot = materialise(_counted(long(df)).filter(F.col("rows") > rows_per_task), "hot_keys")
+    rows = long(df, minor=exact_units(spec.amount)).join(hot.select("entity", "key"), ["entity", "key"], "left_semi")
+    rows = materialise(rows, "hot_rows")
+    levels = []
+    level = materialise(_cuts(hot, rows_per_task), "slices")
+    while not level.isEmpty():
+        levels.append(level)
+        rows = _into(rows, level, "left")
+        level = materialise(_cuts(_counted(rows), rows_per_task), "slices")
+    # Totals in the unit of the histories: amounts of few decimals are whole numbers of them.
+    minor = (F.col("minor") / F.lit(10 ** (9 - spec.amount_scale))).cast("bigint") if narrow else F.col("minor")
+    totals = rows.groupBy("entity", "key", "path").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("minor").alias("known"),
+        F.sum(minor.cast(WHOLE)).alias("total"),
+        (F.sum((minor * minor).cast(WHOLE)) if narrow else F.var_pop(minor.cast("double"))).alias("squares"),
+        F.max("time").alias("latest"),
+    )
+    return Chunks(tuple(levels), materialise(_before(totals, narrow), "chunks"), affected), units
+
+
+def _before(totals: DataFrame, narrow: bool) -> DataFrame:
+    """The sums of all earlier chunks of a key. Squares are those of the amounts, or the squared deviations from their mean."""
+    whole = Window.partitionBy("entity", "key")
+    earlier = whole.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {s: F.sum(s).over(earlier) for s in ("n", "known", "total", "squares")}
+    if not narrow:
+        # Deviations of chunk means are taken from the mean of the key, so that large amounts do not cancel.
+        known = F.col("known").cast("double")
+        of_key = F.sum("total").over(whole).cast("double") / F.sum("known").over(whole)
+        apart = F.when(known > 0, F.col("total").cast("double") / known - of_key)
+        totals = totals.withColumns({"within": F.coalesce("squares", F.lit(0.0)) * known + known * apart * apart, "apart": known * apart})
+        moved = F.sum("apart").over(earlier)
+        sums["squares"] = F.sum("within").over(earlier) - F.coalesce(moved * moved / F.nullif(sums["known"], F.lit(0)), F.lit(0.0))
+    latest = F.max("latest").over(earlier).alias("at_latest")
+    return totals.select("entity", "key", "path", *[c.alias(f"at_{s}") for s, c in sums.items()], latest)
+
 
-def _or_zero(name: str, value: Column) -> Column:
-    """Empty sums are 0; the time of the latest row stays NULL when there is none."""
-    return value if name == "latest" else F.coalesce(value, F.lit(0))
+def _statistics(minor: Column, time: Column, units: Units) -> dict[str, Column]:
+    """Sums that add up across chunks. Of narrow squares the halves are added, which fit 64 bits; wide ones spread around their mean."""
+    sums = {"n": F.count(F.lit(1)), "known": F.count(minor), "total": F.sum(minor), "latest": F.max(time)}
+    if units.narrow:
+        square = minor * minor
+        return {**sums, "high": F.sum(F.shiftright(square, 32)), "low": F.sum(square.bitwiseAND(F.lit(HALF - 1)))}
+    return {**sums, "squares": F.var_pop(minor.cast("double"))}
 
 
-def _entity_history(df: DataFrame, spec: TableSpec, entity: str, hot: DataFrame | None) -> DataFrame:
+def _entity_history(df: DataFrame, spec: TableSpec, entity: str, chunks: Chunks | None, units: Units) -> DataFrame:
     key = f"{entity}_entity_key"
-    names = ("n", "known", "total", "squares", "latest") if entity == "card" else ("n", "known", "total")
-    stats = _statistics(F.col("__cents"), F.col(spec.time))
+    squares = ("high", "low") if units.narrow else ("squares",)
+    names = ("n", "known", "total", "latest", *squares) if entity == "card" else ("n", "known", "total")
+    stats = _statistics(F.col("__minor"), F.col(spec.time), units)
     kept = df.columns
+    rows = df.withColumn("__minor", units.of(spec))
+    group = [key]
+    if chunks is not None:
+        rows = rows.withColumn("__path", F.array().cast("array<int>"))
+        place = {"time": _place(spec.time, df), "id": _place(spec.id, df)}
+        for level in chunks.levels:
+            own = level.filter(F.col("entity") == entity).select(*[F.col(c).alias(f"__{c}") for c in ("key", "path", "by_id", "low", "width")])
+            own = own.withColumnRenamed("__path", "__of")
+            rows = rows.join(own, (rows[key] == own["__key"]) & (rows["__path"] == own["__of"]), "left")
+            at = F.when(F.col("__by_id"), place["id"]).otherwise(place["time"])
+            slice_ = F.floor((at.cast("decimal(20,0)") - F.col("__low").cast("decimal(20,0)")).cast("double") / F.col("__width")).cast("int")
+            further = F.concat("__path", F.array(F.coalesce(slice_, F.lit(-1))))
+            rows = rows.withColumn("__path", F.when(F.col("__width").isNotNull(), further).otherwise(F.col("__path")))
+            rows = rows.select(*kept, "__minor", "__path")
+        group = [key, "__path"]
+    inside = Window.partitionBy(*group).orderBy(spec.time, spec.id).rowsBetween(Window.unboundedPreceding, -1)
+    frame = rows.withColumns({f"__in_{s}": stats[s].over(inside) for s in names})
+    value = {s: F.col(f"__in_{s}") if s == "latest" else F.coalesce(F.col(f"__in_{s}"), F.lit(0)) for s in names}
+    if "high" in value:
+        value["squares"] = value["high"].cast("decimal(19,0)") * F.lit(HALF).cast("decimal(10,0)") + value["low"].cast("decimal(19,0)")
+    elif "squares" in value:
+        value["squares"] = value["squares"] * value["known"]
+    if chunks is not None:
+        before = chunks.before.filter(F.col("entity") == entity).drop("entity").withColumnsRenamed({"key": "__key", "path": "__of"})
+        frame = frame.join(before, (frame[key] == before["__key"]) & (frame["__path"] == before["__of"]), "left")
+        if "squares" in value and not units.narrow:
+            value["squares"] = _spread_of_both(value, {s: F.coalesce(F.col(f"at_{s}"), F.lit(0)) for s in value})
+        for s in ("n", "known", "total", "squares"):
+            if s in value and (s != "squares" or units.narrow):
+                value[s] = value[s].cast(WHOLE) + F.coalesce(F.col(f"at_{s}"), F.lit(0)).cast(WHOLE)
+        if "latest" in value:
+            value["latest"] = F.coalesce(value["latest"], F.col("at_latest"))
+    return frame.select(*kept, *features_of_sums(entity, value, units, F.col(spec.time)))
 
-    chunked = _with_chunk(df, entity, key, spec.time, hot).withColumn(
-        "__cents", minor_units(spec.amount, spec.amount_scale)
-    )
-    inside = (
-        Window.partitionBy(key, "__chunk")
-        .orderBy(spec.time, spec.id)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    frame = chunked.withColumns({f"__in_{s}": stats[s].over(inside) for s in names})
-
-    value = {s: _or_zero(s, F.col(f"__in_{s}")) for s in names}
-    if hot is not None:
-        earlier = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            chunked.filter(F.col("__chunk") >= 0)
-            .groupBy(key, "__chunk")
-            .agg(*[stats[s].alias(s) for s in names])
-            .select(
-                key,
-                "__chunk",
-                *[(F.max(s) if s == "latest" else F.sum(s)).over(earlier).alias(f"__at_{s}") for s in names],
-            )
-        )
-        frame = frame.join(offsets, [key, "__chunk"], "left")
-        for s in names:
-            before = F.col(f"__at_{s}")
-            value[s] = F.coalesce(value[s], before) if s == "latest" else value[s] + _or_zero(s, before)
-    return frame.select(*kept, *_features(entity, value, spec))
-
-
-def _features(entity: str, value: dict[str, Column], spec: TableSpec) -> list[Column]:
+
+def features_of_sums(entity: str, value: dict[str, Column], units: Units, time: Column) -> list[Column]:
     """Feature columns from the sums. The card mean divides by all earlier rows,
     the other means by the earlier rows that have an amount."""
-    scale = spec.amount_scale
-    total = major_units(value["total"], scale)
+    total = units.major(value["total"])
     divisor = value["n"] if entity == "card" else value["known"]
     columns = {
         f"prior_{entity}_transaction_count": value["n"].cast("bigint"),
         f"prior_{entity}_amount_sum": total,
-        f"prior_{entity}_avg_amount": F.when(divisor > 0, total / divisor).otherwise(F.lit(0.0)),
+        f"prior_{entity}_avg_amount": F.when(divisor > 0, total / divisor.cast("double")).otherwise(F.lit(0.0)),
     }
     if entity == "card":
-        # Squares around the whole number next to the mean: exact, so that large equal amounts do not cancel.
-        known, whole = value["known"], F.coalesce(value["total"], F.lit(0)).cast("decimal(19,0)")
-        mean = F.coalesce(F.round(whole / F.nullif(known, F.lit(0)), 0), F.lit(0)).cast("decimal(19,0)")
-        rows = known.cast("decimal(19,0)")
-        around = value["squares"] - (mean * whole).cast("decimal(38,0)") * 2 + (mean * mean).cast("decimal(38,0)") * rows
-        rest = (whole - mean * rows).cast("double")
-        spread = F.greatest(around.cast("double") - rest * rest / known, F.lit(0.0)) / (known - 1)
-        columns["prior_card_amount_stddev"] = F.when(known > 1, major_units(F.sqrt(spread), scale)).otherwise(
-            F.lit(0.0)
-        )
-        columns["time_since_previous_card_transaction"] = (F.col(spec.time) - value["latest"]).cast("double")
+        known = value["known"].cast("bigint")
+        spread = _squared_spread(known, value["total"], value["squares"]) if units.narrow else value["squares"] / (known - 1)
+        columns["prior_card_amount_stddev"] = F.when(value["known"] > 1, units.major(F.sqrt(spread))).otherwise(F.lit(0.0))
+        columns["time_since_previous_card_transaction"] = (time - value["latest"]).cast("double")
     return [c.alias(name) for name, c in columns.items()]
 
 
+def _spread_of_both(one: dict[str, Column], other: dict[str, Column]) -> Column:
+    """Squared deviations from the mean of two parts together."""
+    a, b = one["known"].cast("double"), other["known"].cast("double")
+    apart = one["total"].cast("double") / F.nullif(a, F.lit(0.0)) - other["total"].cast("double") / F.nullif(b, F.lit(0.0))
+    return one["squares"] + other["squares"] + F.coalesce(apart * apart * a * b / (a + b), F.lit(0.0))
+
+
+def _squared_spread(known: Column, total: Column, squares: Column) -> Column:
+    """Sample variance of narrow amounts: squares around the whole number next to the mean, so that large equal amounts do not cancel."""
+    whole, rows = total.cast("decimal(19,0)"), known.cast("decimal(19,0)")
+    mean = F.coalesce(F.round(whole / F.nullif(known, F.lit(0)), 0), F.lit(0)).cast("decimal(19,0)")
+    around = squares.cast(WHOLE) - (mean * whole).cast(WHOLE) * 2 + (mean * mean).cast(WHOLE) * rows
+    rest = (whole - mean * rows).cast("double")
+    return F.greatest(around.cast("double") - rest * rest / known, F.lit(0.0)) / (known - 1)
+
+
 def add_history(
     df: DataFrame,
     spec: TableSpec,
@@ -148,16 +260,13 @@ def add_history(
 
     ``df`` carries ``<entity>_entity_key`` columns. Each entity costs one
     shuffle of ``df``, so pass only the columns that are needed. ``df`` is read
-    once to find hot keys; without any, no join is planned.
+    once to find hot keys; without any, no join is planned. Amounts are added
+    exactly: with ``amount_scale`` decimals if none has more, else with nine. NaN and infinite amounts are unknown.
     """
-    hot = hot_keys(df, spec, entities, rows_per_task)
-    found = hot.limit(MOST_BROADCAST_KEYS + 1).collect()
-    affected = set(entities)
-    if len(found) <= MOST_BROADCAST_KEYS:
-        affected = {row["entity"] for row in found}
-        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    chunks, units = cut_hot_keys(df, spec, entities, rows_per_task)
     for entity in entities:
-        df = _entity_history(df, spec, entity, hot if entity in affected else None)
+        cut = chunks if chunks is not None and entity in chunks.entities else None
+        df = _entity_history(df, spec, entity, cut, units)
     return df
 
 

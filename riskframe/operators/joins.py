@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.rowwise import major_units, minor_units
+from riskframe.functions.rowwise import exact_amount
 from riskframe.spec import TableSpec
 
-# A side of at most this many rows may be broadcast.
-MOST_BROADCAST_ROWS = 200_000
-
 
 def left_join_with_marker(left: DataFrame, right: DataFrame, key: str, marker: str = "has_identity") -> DataFrame:
     """Left join that also says whether a partner was found, in one join."""
@@ -52,36 +49,27 @@ def require_pass(audit: DataFrame) -> None:
         raise ValueError("audit failed: " + "; ".join(str(row.asDict()) for row in failed))
 
 
-def small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is counted to be small, else leave it alone."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def entity_aggregate(df: DataFrame, spec: TableSpec, entity: str) -> DataFrame:
     """Per-key statistics. Sums are exact; the mean skips NULL amounts."""
-    cents = minor_units(spec.amount, spec.amount_scale)
-    total = major_units(F.sum(cents), spec.amount_scale)
+    amount = exact_amount(spec.amount)
+    total = F.sum(amount).cast("double")
     columns = {"history_count": F.count(F.lit(1)), "history_amount_sum": total}
     if entity == "card":
         columns["history_amount_stddev"] = F.stddev_samp(F.col(spec.amount).cast("double"))
         columns["last_transaction_dt"] = F.max(spec.time)
     else:
-        columns["history_avg_amount"] = total / F.count(cents)
+        columns["history_avg_amount"] = total / F.count(amount)
     return df.groupBy(f"{entity}_entity_key").agg(*[c.alias(f"{entity}_{n}") for n, c in columns.items()])
 
 
-def _join_aggregate(df: DataFrame, aggregate: DataFrame, key: str) -> DataFrame:
-    """Left join of a one-row-per-key table; AQE splits a hot key of the left side."""
-    return df.join(small(aggregate), key, "left")
-
-
 def lookup_history(df: DataFrame, train: DataFrame, spec: TableSpec, entities: Sequence[str]) -> DataFrame:
     """Histories looked up from aggregates of the training rows; unseen keys get zeros."""
     kept = df.columns
     features = []
     zero = F.lit(0.0)
     for entity in entities:
-        df = _join_aggregate(df, entity_aggregate(train, spec, entity), f"{entity}_entity_key")
+        # AQE broadcasts a small table of keys, and splits a hot key of the left side.
+        df = df.join(entity_aggregate(train, spec, entity), f"{entity}_entity_key", "left")
         count = F.coalesce(F.col(f"{entity}_history_count"), F.lit(0).cast("bigint"))
         total = F.coalesce(F.col(f"{entity}_history_amount_sum"), zero)
         if entity == "card":

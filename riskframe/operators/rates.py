@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.rowwise import MISSING_GROUP, major_units, minor_units
+from riskframe.functions.rowwise import MISSING_GROUP, exact_amount
 from riskframe.spec import TableSpec
 
 # Support limits and report length.
@@ -22,8 +22,8 @@ def rate_pct(label: str) -> Column:
 
 def mean_amount(spec: TableSpec) -> Column:
     """Mean amount from an exact sum; NULL amounts are left out."""
-    cents = minor_units(spec.amount, spec.amount_scale)
-    return F.round(major_units(F.sum(cents), spec.amount_scale) / F.count(cents), 4)
+    amount = exact_amount(spec.amount)
+    return F.round(F.sum(amount).cast("double") / F.count(amount), 4)
 
 
 def or_missing(column: str) -> Column:

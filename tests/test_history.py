@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.catalog.tables import SPEC
-from riskframe.operators.history import add_history, history_for_unlabelled
+from riskframe.operators import history
+from riskframe.operators.history import add_history, cut_hot_keys, history_for_unlabelled
 
 SCHEMA = (
     "transaction_id long, transaction_dt long, amount decimal(18,2), "
@@ -21,21 +22,24 @@ def by_id(df):
     return {r["transaction_id"]: r.asDict() for r in df.collect()}
 
 
-FOUR = [
-    (1, 10, 100, "card-a", "email-a", "device-a"),
-    (2, 20, 50, "card-a", "email-a", "device-a"),
-    (3, 30, 25, "card-a", "email-b", "device-b"),
-    (4, 40, 10, "card-b", "email-b", "device-b"),
+SEVEN = [
+    (11, None, 7.25, "p", "x", "u"),
+    (12, 500, 40, "p", "x", "u"),
+    (13, 500, None, "p", "y", "u"),
+    (14, 500, 2.5, "q", "y", "u"),
+    (15, 730, 60.25, "p", "x", "w"),
+    (16, 731, 1, "q", None, "w"),
+    (17, 9000, 5, "p", "x", "w"),
 ]
 
 
-def test_four_rows(spark):
-    rows = by_id(add_history(frame(spark, FOUR), SPEC))
-    assert [rows[i]["prior_card_transaction_count"] for i in (1, 2, 3, 4)] == [0, 1, 2, 0]
-    assert [rows[i]["prior_card_amount_sum"] for i in (2, 3)] == [100, 150]
-    assert rows[1]["time_since_previous_card_transaction"] is None
-    assert rows[3]["time_since_previous_card_transaction"] == 10
-    assert rows[4]["prior_email_avg_amount"] == 25
+def test_rows_without_time_come_first_and_ties_go_by_id(spark):
+    rows = by_id(add_history(frame(spark, SEVEN), SPEC))
+    counts = {i: (r["prior_card_transaction_count"], r["prior_email_transaction_count"], r["prior_device_transaction_count"]) for i, r in rows.items()}
+    assert counts == {11: (0, 0, 0), 12: (1, 1, 1), 13: (2, 0, 2), 14: (0, 1, 3), 15: (3, 2, 0), 16: (1, 0, 1), 17: (4, 3, 2)}
+    assert rows[15]["prior_card_amount_sum"] == 47.25 and rows[15]["prior_card_avg_amount"] == 47.25 / 3
+    assert rows[17]["prior_email_avg_amount"] == 107.5 / 3 and rows[14]["prior_email_avg_amount"] == 0
+    assert [rows[i]["time_since_previous_card_transaction"] for i in (12, 13, 15, 17)] == [None, 0, 230, 8270]
 
 
 def many(seed=1, n=600):
@@ -86,12 +90,49 @@ def test_any_chunking_equals_brute_force(spark, rows_per_task):
             assert got[i][name] == (None if value is None else pytest.approx(value, abs=1e-6)), (i, name)
 
 
-def test_more_hot_keys_than_may_be_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("riskframe.operators.history.MOST_BROADCAST_KEYS", 1)
-    rows = many(n=200)
-    got = by_id(add_history(frame(spark, rows), SPEC, rows_per_task=3))
-    expected = brute(rows)
-    assert all(got[i]["prior_card_amount_sum"] == pytest.approx(e["prior_card_amount_sum"]) for i, e in expected.items())
+def burst(n=3000):
+    """Most of a key in one second, one stray row far before, some far after, and rows without time."""
+    rows = [(0, -(10**15), 1.5, "k", "k", "k")]
+    rows += [(i, 77, i % 13 + 0.25, "k", "k", "k") for i in range(1, n)]
+    rows += [(n + i, 10**17 + i, 2, "k", "other" if i % 2 else "k", "k") for i in range(40)]
+    return rows + [(n + 100 + i, None, 3, "k", "k", f"d{i}") for i in range(60)]
+
+
+def test_no_chunk_holds_more_than_its_rows(spark):
+    """However the rows of a key lie in time."""
+    df = frame(spark, burst()).repartition(5)
+    chunks, units = cut_hot_keys(df, SPEC, ("card", "email", "device"), 50)
+    assert units.narrow and chunks.entities == {"card", "email", "device"}
+    rows = df.selectExpr("'card' AS entity", "card_entity_key AS key", "transaction_dt AS time", "transaction_id AS id", "CAST(array() AS array<int>) AS path")
+    for level in chunks.levels:
+        rows = history._into(rows, level, "left")
+    sizes = [r["count"] for r in rows.groupBy("path").count().collect()]
+    assert sum(sizes) == df.count() and max(sizes) <= 50
+    assert len(sizes) <= chunks.before.filter("entity = 'card'").count()
+
+
+def test_a_burst_has_the_history_of_one_window(spark):
+    columns = [c for c in add_history(frame(spark, burst(400)), SPEC).columns]
+    whole = by_id(add_history(frame(spark, burst(400)), SPEC).select(columns))
+    assert by_id(add_history(frame(spark, burst(400)), SPEC, rows_per_task=20).select(columns)) == whole
+    last = max(whole.values(), key=lambda r: r["prior_card_transaction_count"])
+    amounts = [r[2] for r in burst(400)][:-61] + [3] * 60
+    assert last["prior_card_amount_sum"] == pytest.approx(sum(r[2] for r in burst(400)) - 2)
+    assert len(amounts) > 400
+
+
+def test_amounts_of_many_decimals_and_large_ones_are_not_rounded(spark):
+    schema = SCHEMA.replace("decimal(18,2)", "double")
+    rows = [(i, i, (0.001234567 if i % 2 else 4.0e10) * (1 + i % 3), "k", "k", "k") for i in range(40)]
+    for limit in (10**6, 7):
+        got = by_id(add_history(spark.createDataFrame(rows, schema), SPEC, rows_per_task=limit))
+        for i in (3, 20, 39):
+            before = [r[2] for r in rows[:i]]
+            mean = sum(before) / i
+            assert got[i]["prior_card_amount_sum"] == pytest.approx(sum(before), rel=1e-15)
+            assert got[i]["prior_card_amount_stddev"] == pytest.approx((sum((x - mean) ** 2 for x in before) / (i - 1)) ** 0.5, rel=1e-12)
+    small = [(i, i, 0.001234567, "k", "k", "k") for i in range(4)]
+    assert by_id(add_history(spark.createDataFrame(small, schema), SPEC))[3]["prior_email_amount_sum"] == 0.003703701
 
 
 def test_later_rows_change_nothing(spark):
@@ -103,15 +144,15 @@ def test_later_rows_change_nothing(spark):
 
 
 def test_unlabelled_rows_see_the_labelled_ones(spark):
-    rows = frame(spark, FOUR)
-    past, new = rows.filter("transaction_dt < 30").withColumn("label", F.lit(0)), rows.filter("transaction_dt >= 30")
+    rows = frame(spark, SEVEN)
+    past, new = rows.filter("transaction_id < 15").withColumn("label", F.lit(0)), rows.filter("transaction_id >= 15")
     got = by_id(history_for_unlabelled(past, new, SPEC))
-    assert sorted(got) == [3, 4]
-    assert got[3]["prior_card_amount_sum"] == 150
+    assert sorted(got) == [15, 16, 17]
+    assert got[15]["prior_card_amount_sum"] == 47.25
 
 
 def test_no_join_without_hot_keys(spark):
-    plan = add_history(frame(spark, FOUR), SPEC)._jdf.queryExecution().executedPlan().toString()
+    plan = add_history(frame(spark, SEVEN), SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
 
 
