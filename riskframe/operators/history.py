@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.rowwise import exact_units, fits_scale, minor_units
+from riskframe.functions.rowwise import exact_amount, exact_units, fits_scale, minor_units
 from riskframe.session import materialise
 from riskframe.spec import TableSpec
 
@@ -31,6 +31,9 @@ HALF = 1 << 32
 
 WHOLE = "decimal(38,0)"
 
+#: What is known of a key.
+STATE = ("n", "known", "total", "squares", "latest")
+
 
 @dataclass(frozen=True)
 class Units:
@@ -175,7 +178,9 @@ def _statistics(minor: Column, time: Column, units: Units) -> dict[str, Column]:
     return {**sums, "squares": F.var_pop(minor.cast("double"))}
 
 
-def _entity_history(df: DataFrame, spec: TableSpec, entity: str, chunks: Chunks | None, units: Units) -> DataFrame:
+def _entity_history(
+    df: DataFrame, spec: TableSpec, entity: str, chunks: Chunks | None, units: Units, state: DataFrame | None = None
+) -> DataFrame:
     key = f"{entity}_entity_key"
     squares = ("high", "low") if units.narrow else ("squares",)
     names = ("n", "known", "total", "latest", *squares) if entity == "card" else ("n", "known", "total")
@@ -206,17 +211,35 @@ def _entity_history(df: DataFrame, spec: TableSpec, entity: str, chunks: Chunks
     if chunks is not None:
         before = chunks.before.filter(F.col("entity") == entity).drop("entity").withColumnsRenamed({"key": "__key", "path": "__of"})
         frame = frame.join(before, (frame[key] == before["__key"]) & (frame["__path"] == before["__of"]), "left")
-        if "squares" in value and not units.narrow:
-            value["squares"] = _spread_of_both(value, {s: F.coalesce(F.col(f"at_{s}"), F.lit(0)) for s in value})
-        for s in ("n", "known", "total", "squares"):
-            if s in value and (s != "squares" or units.narrow):
-                value[s] = value[s].cast(WHOLE) + F.coalesce(F.col(f"at_{s}"), F.lit(0)).cast(WHOLE)
+        at = {s: F.coalesce(F.col(f"at_{s}"), F.lit(0)) for s in ("n", "known", "total", "squares")}
+        if "squares" in value:
+            value["squares"] = value["squares"].cast(WHOLE) + at["squares"].cast(WHOLE) if units.narrow else _spread_of_both(value, at)
+        for s in ("n", "known", "total"):
+            value[s] = value[s].cast(WHOLE) + at[s].cast(WHOLE)
         if "latest" in value:
             value["latest"] = F.coalesce(value["latest"], F.col("at_latest"))
-    return frame.select(*kept, *features_of_sums(entity, value, units, F.col(spec.time)))
-
-
-def features_of_sums(entity: str, value: dict[str, Column], units: Units, time: Column) -> list[Column]:
+    if "squares" in value and units.narrow:
+        value["squares"] = _squared_deviations(value["known"].cast("bigint"), value["total"], value["squares"])
+    if state is not None:
+        frame, value = _after_state(frame, key, value, units, state.filter(F.col("entity") == entity))
+    return frame.select(*kept, *_features(entity, value, units, F.col(spec.time)))
+
+
+def _after_state(frame: DataFrame, key: str, value: dict[str, Column], units: Units, state: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The sums with those of the stored state of the row's key before them."""
+    stored = state.select(*[F.col(c).alias(f"__{c}") for c in ("key", *STATE)])
+    frame = frame.join(stored, frame[key].eqNullSafe(stored["__key"]), "left")
+    old = {s: F.coalesce(F.col(f"__{s}"), F.lit(0)) for s in ("n", "known", "squares")}
+    old["total"] = F.coalesce(F.col("__total") * F.lit(10**units.scale), F.lit(0)).cast(WHOLE)
+    both = {s: value[s].cast(WHOLE) + old[s].cast(WHOLE) for s in ("n", "known", "total")}
+    if "squares" in value:
+        old["squares"] = old["squares"] * F.lit(float(10 ** (2 * units.scale)))
+        both["squares"] = _spread_of_both(value, old)
+        both["latest"] = F.coalesce(value["latest"], F.col("__latest"))
+    return frame, both
+
+
+def _features(entity: str, value: dict[str, Column], units: Units, time: Column) -> list[Column]:
     """Feature columns from the sums. The card mean divides by all earlier rows,
     the other means by the earlier rows that have an amount."""
     total = units.major(value["total"])
@@ -227,9 +250,9 @@ def features_of_sums(entity: str, value: dict[str, Column], units: Units, time:
         f"prior_{entity}_avg_amount": F.when(divisor > 0, total / divisor.cast("double")).otherwise(F.lit(0.0)),
     }
     if entity == "card":
-        known = value["known"].cast("bigint")
-        spread = _squared_spread(known, value["total"], value["squares"]) if units.narrow else value["squares"] / (known - 1)
-        columns["prior_card_amount_stddev"] = F.when(value["known"] > 1, units.major(F.sqrt(spread))).otherwise(F.lit(0.0))
+        known = value["known"].cast("double")
+        spread = F.sqrt(value["squares"] / F.nullif(known - 1, F.lit(0.0)))
+        columns["prior_card_amount_stddev"] = F.when(known > 1, units.major(spread)).otherwise(F.lit(0.0))
         columns["time_since_previous_card_transaction"] = (time - value["latest"]).cast("double")
     return [c.alias(name) for name, c in columns.items()]
 
@@ -241,13 +264,13 @@ def _spread_of_both(one: dict[str, Column], other: dict[str, Column]) -> Column:
     return one["squares"] + other["squares"] + F.coalesce(apart * apart * a * b / (a + b), F.lit(0.0))
 
 
-def _squared_spread(known: Column, total: Column, squares: Column) -> Column:
-    """Sample variance of narrow amounts: squares around the whole number next to the mean, so that large equal amounts do not cancel."""
+def _squared_deviations(known: Column, total: Column, squares: Column) -> Column:
+    """Squared deviations of narrow amounts from their mean: taken from the whole number next to it, so that large equal amounts do not cancel."""
     whole, rows = total.cast("decimal(19,0)"), known.cast("decimal(19,0)")
     mean = F.coalesce(F.round(whole / F.nullif(known, F.lit(0)), 0), F.lit(0)).cast("decimal(19,0)")
     around = squares.cast(WHOLE) - (mean * whole).cast(WHOLE) * 2 + (mean * mean).cast(WHOLE) * rows
     rest = (whole - mean * rows).cast("double")
-    return F.greatest(around.cast("double") - rest * rest / known, F.lit(0.0)) / (known - 1)
+    return F.greatest(around.cast("double") - F.coalesce(rest * rest / F.nullif(known, F.lit(0)), F.lit(0.0)), F.lit(0.0))
 
 
 def add_history(
@@ -255,21 +278,70 @@ def add_history(
     spec: TableSpec,
     entities: Sequence[str] = ENTITIES,
     rows_per_task: int = ROWS_PER_TASK,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Add the history of every entity to each row of ``df``.
 
+    With ``state`` (``entity_state`` of all earlier rows) the history goes on from there, and no earlier row is read.
+
     ``df`` carries ``<entity>_entity_key`` columns. Each entity costs one
     shuffle of ``df``, so pass only the columns that are needed. ``df`` is read
     once to find hot keys; without any, no join is planned. Amounts are added
     exactly: with ``amount_scale`` decimals if none has more, else with nine. NaN and infinite amounts are unknown.
     """
+    if state is not None:
+        _require_later(df, spec, state)
+        state = state.filter(F.col("entity").isin(*entities))
     chunks, units = cut_hot_keys(df, spec, entities, rows_per_task)
     for entity in entities:
         cut = chunks if chunks is not None and entity in chunks.entities else None
-        df = _entity_history(df, spec, entity, cut, units)
+        df = _entity_history(df, spec, entity, cut, units, state)
     return df
 
 
+def entity_state(df: DataFrame, spec: TableSpec, entities: Sequence[str] = ENTITIES) -> DataFrame:
+    """One row per ``entity`` and ``key``: rows ``n``, ``known`` amounts, their ``total``, squared deviations ``squares``, and the ``latest`` time.
+
+    One pass with map-side merging, whatever the skew. This is all that later rows need to know of ``df``.
+    """
+    pairs = F.array(*[F.struct(F.lit(e).alias("entity"), F.col(f"{e}_entity_key").alias("key")) for e in entities])
+    amount = exact_amount(spec.amount)
+    rows = df.select(F.explode(pairs).alias("pair"), amount.alias("amount"), F.col(spec.time).alias("time")).select("pair.*", "amount", "time")
+    return rows.groupBy("entity", "key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("amount").alias("known"),
+        F.sum("amount").cast("decimal(38,9)").alias("total"),
+        F.coalesce(F.var_pop(F.col("amount").cast("double")) * F.count("amount"), F.lit(0.0)).alias("squares"),
+        F.max("time").alias("latest"),
+    )
+
+
+def merge_state(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """The state after both: a full join of one row per key on each side. Neither the rows behind them nor their order matter."""
+    a, b = (df.select("entity", "key", *[F.col(s).alias(f"{side}_{s}") for s in STATE]) for df, side in ((older, "a"), (newer, "b")))
+    b = b.withColumnsRenamed({"entity": "__entity", "key": "__key"})
+    joined = a.join(b, (F.col("entity") == F.col("__entity")) & F.col("key").eqNullSafe(F.col("__key")), "full")
+    here = F.col("entity").isNotNull()
+    one, other = ({s: F.coalesce(F.col(f"{side}_{s}"), F.lit(0)) for s in ("n", "known", "total", "squares")} for side in "ab")
+    return joined.select(
+        F.coalesce("entity", "__entity").alias("entity"),
+        F.when(here, F.col("key")).otherwise(F.col("__key")).alias("key"),
+        (one["n"] + other["n"]).alias("n"),
+        (one["known"] + other["known"]).alias("known"),
+        F.when(one["known"] + other["known"] > 0, (one["total"] + other["total"]).cast("decimal(38,9)")).alias("total"),
+        _spread_of_both(one, other).alias("squares"),
+        F.greatest("a_latest", "b_latest").alias("latest"),
+    )
+
+
+def _require_later(df: DataFrame, spec: TableSpec, state: DataFrame) -> None:
+    """Every row has to be later than the stored state, or its history would hold later rows."""
+    last = state.agg(F.max("latest").alias("last")).first()["last"]
+    bounds = df.agg(F.min(spec.time).alias("first"), F.count_if(F.col(spec.time).isNull()).alias("undated")).first()
+    if last is not None and (bounds["undated"] or (bounds["first"] is not None and bounds["first"] <= last)):
+        raise ValueError(f"rows from {spec.time} {bounds['first']} on ({bounds['undated']} without) do not come after the state, which ends at {last}")
+
+
 def history_for_unlabelled(
     labelled: DataFrame, unlabelled: DataFrame, spec: TableSpec, **options
 ) -> DataFrame:

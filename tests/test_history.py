@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.catalog.tables import SPEC
 from riskframe.operators import history
-from riskframe.operators.history import add_history, cut_hot_keys, history_for_unlabelled
+from riskframe.operators.history import add_history, cut_hot_keys, entity_state, history_for_unlabelled, merge_state
 
 SCHEMA = (
     "transaction_id long, transaction_dt long, amount decimal(18,2), "
@@ -166,3 +166,33 @@ def test_large_equal_amounts_and_rows_without_time(spark):
     assert whole == {r.transaction_id: r for r in add_history(df, SPEC, rows_per_task=8).select(columns).collect()}
     last = max(whole.values(), key=lambda r: r.prior_card_transaction_count)
     assert abs(last.prior_card_amount_stddev - 0.005) < 0.0002
+
+
+@pytest.mark.parametrize("rows_per_task", [10**6, 9])
+def test_history_goes_on_from_stored_states(spark, rows_per_task):
+    rows = many(n=300)
+    whole = by_id(add_history(frame(spark, rows), SPEC))
+    parts = [frame(spark, [r for r in rows if low <= r[1] < high]) for low, high in ((0, 60), (60, 61), (61, 130), (130, 999))]
+    state = entity_state(parts[0], SPEC)
+    for part in parts[1:3]:
+        state = merge_state(state, entity_state(part, SPEC))
+    got = by_id(add_history(parts[3], SPEC, rows_per_task=rows_per_task, state=state))
+    assert len(got) == parts[3].count() > 0
+    for i, row in got.items():
+        assert {k: pytest.approx(v, rel=1e-12, abs=1e-9) if isinstance(v, float) else v for k, v in whole[i].items()} == row
+    expected = {(r.entity, r.key): r for r in entity_state(frame(spark, [r for r in rows if r[1] < 130]), SPEC).collect()}
+    for r in state.collect():
+        e = expected.pop((r.entity, r.key))
+        assert (r.n, r.known, r.total, r.latest) == (e.n, e.known, e.total, e.latest)
+        assert r.squares == pytest.approx(e.squares)
+    assert not expected
+
+
+def test_rows_before_the_state_are_refused(spark):
+    state = entity_state(frame(spark, SEVEN), SPEC)
+    for late in ([(20, 9000, 1, "p", "x", "u")], [(20, None, 1, "p", "x", "u")]):
+        with pytest.raises(ValueError, match="do not come after the state"):
+            add_history(frame(spark, late), SPEC, state=state)
+    empty = frame(spark, SEVEN).limit(0)
+    assert add_history(empty, SPEC, state=state).count() == 0
+    assert by_id(add_history(frame(spark, SEVEN), SPEC, state=entity_state(empty, SPEC))) == by_id(add_history(frame(spark, SEVEN), SPEC))
