@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import query
-from riskframe.catalog.tables import SPEC, prepared, scored, scored_windows
+from riskframe.catalog.tables import SPEC, partly_scored, prepared, scored, scored_windows
 from riskframe.operators import ranking
 from riskframe.operators.contract import contract_checks
 
@@ -60,6 +60,24 @@ def binary_metrics(spark, d):
     return rounded(ranking.binary_metrics(scored(spark, d), P, LABEL, 0.5), "pr_auc", "roc_auc")
 
 
+PARTLY = (
+    ("m_points", POINTS_SQL.format(p="p", table="partly_scored")),
+    ("m_running", RUNNING_SQL.format(points="m_points")),
+)
+
+
+@query(
+    "binary_metrics_missing",
+    f"""SELECT {METRICS}, pr_auc, roc_auc, 0.5::DOUBLE AS threshold FROM
+    ({rates_sql('SELECT ' + counts_sql('partly_scored', 'p', '0.5') + ' FROM partly_scored')}),
+    (SELECT round({AP_SQL}, 6) AS pr_auc, round({AUC_SQL}, 6) AS roc_auc FROM m_running)""",
+    PARTLY,
+)
+def binary_metrics_missing(spark, d):
+    """Rows without a score rank below all others and are never above a threshold."""
+    return rounded(ranking.binary_metrics(partly_scored(spark, d), P, LABEL, 0.5), "pr_auc", "roc_auc")
+
+
 @query(
     "confusion_metrics",
     f"SELECT {METRICS} FROM ({rates_sql('SELECT ' + counts_sql('scored', 'p', '0.5') + ' FROM scored')})",
@@ -69,14 +87,21 @@ def confusion_metrics(spark, d):
     return rounded(ranking.confusion_metrics(rows, LABEL, "prediction"))
 
 
-TABLE = (
-    "grid_table",
-    rates_sql(
+def grid_sql(table: str) -> str:
+    return rates_sql(
         "SELECT t AS threshold, "
-        + counts_sql("scored", "p", "t")
-        + " FROM scored, (SELECT i / CAST(100 AS DOUBLE) AS t FROM range(5, 96) r(i)) GROUP BY t"
-    ),
-)
+        + counts_sql(table, "p", "t")
+        + f" FROM {table}, (SELECT i / CAST(100 AS DOUBLE) AS t FROM range(5, 96) r(i)) GROUP BY t"
+    )
+
+
+TABLE = ("grid_table", grid_sql("scored"))
+
+
+@query("threshold_table_missing", f"SELECT threshold, {METRICS} FROM ({grid_sql('partly_scored')})")
+def threshold_table_missing(spark, d):
+    return rounded(ranking.threshold_table(partly_scored(spark, d), P, LABEL))
+
 
 
 @query("threshold_table", f"SELECT threshold, {METRICS} FROM grid_table", (TABLE,))

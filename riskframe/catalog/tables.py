@@ -72,7 +72,17 @@ CASE WHEN k % 5 <> 0 THEN CAST(k AS DOUBLE) END AS id_01
 CASE WHEN user_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device_type
 CASE c_nationkey % 6 WHEN 0 THEN 'iPhone 12' WHEN 1 THEN 'SM-G960U' WHEN 2 THEN 'Windows NT' WHEN 3 THEN 'MacOS' WHEN 4 THEN 'rv:52' END AS device_info
 c_mktsegment AS id_12""".splitlines()
-SCORED = ["transaction_id", "transaction_dt", "label", "amount", "CAST(amount AS DOUBLE)/(CAST(amount AS DOUBLE)+50) AS p"]
+# A missing amount counts as 0, as it does when a transaction is stored.
+SCORED_AMOUNT = "coalesce(amount, CAST(0 AS DECIMAL(18,2)))"
+SCORED = [
+    "transaction_id",
+    "transaction_dt",
+    "label",
+    f"{SCORED_AMOUNT} AS amount",
+    f"CAST({SCORED_AMOUNT} AS DOUBLE)/(CAST({SCORED_AMOUNT} AS DOUBLE)+50) AS p",
+]
+# Some rows have no score, some one that is no number.
+PARTLY_SCORED = ["label", "CASE WHEN transaction_id % 9 = 4 THEN NULL WHEN transaction_id % 31 = 3 THEN CAST('NaN' AS DOUBLE) ELSE p END AS p"]
 REVIEW = [
     "event_id AS transaction_id",
     "CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status",
@@ -120,7 +130,11 @@ def unlabelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return txn(spark, folder).filter("amount IS NOT NULL").selectExpr(*SCORED)
+    return txn(spark, folder).selectExpr(*SCORED)
+
+
+def partly_scored(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(spark, folder).selectExpr(*PARTLY_SCORED)
 
 
 def scored_windows(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -214,7 +228,8 @@ TABLES_SQL: dict[str, str] = {
         {_key('device_type', 'device_info')} AS device_entity_key,
         {_key('addr1', 'addr2')} AS address_entity_key
         FROM norm""",
-    "scored": _select(SCORED, "txn WHERE amount IS NOT NULL"),
+    "scored": _select(SCORED, "txn"),
+    "partly_scored": "SELECT label, CASE WHEN p IS NULL OR isnan(p) THEN -1 ELSE p END AS p FROM (" + _select(PARTLY_SCORED, "scored") + ")",
     "review_log": _select(REVIEW, "ev WHERE event_id % 3 = 0")
     + " UNION ALL "
     + _select(REVIEW_AGAIN, "ev WHERE event_id % 12 = 0"),

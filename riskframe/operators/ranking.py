@@ -10,7 +10,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.operators.quantiles import running_totals
+from riskframe.operators.quantiles import known, running_totals
 
 # The threshold grid, policy limits and release gates.
 THRESHOLD_GRID = tuple(round(i / 100, 2) for i in range(5, 96))
@@ -55,7 +55,10 @@ def _with_rates(counts: DataFrame) -> DataFrame:
 
 
 def score_points(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: positives and negatives there, from the top down to it, and in all."""
+    """Per distinct score: positives and negatives there, from the top down to it, and in all.
+
+    Rows without a score (NULL or NaN) are one point below all others.
+    """
     classes = df.select(
         *by,
         score,
@@ -90,7 +93,7 @@ def binary_metrics(
 ) -> DataFrame:
     """Ranking metrics and the confusion counts at ``score >= threshold``, in one pass."""
     points = _guarded(score_points(df, score, label, by))
-    above = F.col(score) >= threshold
+    above = F.coalesce(F.col(score) >= threshold, F.lit(False))  # a row without a score is not above
     counts = points.groupBy(*by).agg(
         _average_precision().alias("pr_auc"),
         _roc_auc().alias("roc_auc"),
@@ -108,14 +111,14 @@ def threshold_table(
     """Confusion counts and rates at every threshold, for ``score >= threshold``.
 
     Each row is put into the slot of the highest threshold it reaches; the
-    counts per threshold are suffix sums over the slots.
+    counts per threshold are suffix sums over the slots. A row without a score (NULL or NaN) reaches none.
     """
     grid = sorted(thresholds)
     edges = [float("-inf"), *grid, float("inf")]
     positive = F.when(F.col(label) == 1, 1).otherwise(0)
     slots = (
         Bucketizer(splits=edges, inputCol="__score", outputCol="__slot")
-        .transform(df.select(F.col(score).cast("double").alias("__score"), positive.alias("pos")))
+        .transform(df.select(F.coalesce(known(score), F.lit(float("-inf"))).alias("__score"), positive.alias("pos")))
         .groupBy(F.col("__slot").cast("int").alias("slot"))
         .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
     )
@@ -198,11 +201,11 @@ def squared_error(probability: Column, label: Column) -> Column:
 
 
 def brier_scores(df: DataFrame, raw: str, calibrated: str, label: str) -> DataFrame:
-    """Mean squared error of the raw and the calibrated probability."""
+    """Mean squared error of the raw and the calibrated probability, over the rows that have it."""
     y = F.col(label)
     return df.agg(
-        F.avg(squared_error(F.col(raw), y)).alias("raw_brier_score"),
-        F.avg(squared_error(F.col(calibrated), y)).alias("brier_score"),
+        F.avg(squared_error(known(raw), y)).alias("raw_brier_score"),
+        F.avg(squared_error(known(calibrated), y)).alias("brier_score"),
     ).withColumn("calibration_improved", F.col("brier_score") <= F.col("raw_brier_score"))
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import fitted, ranking, splits
+from riskframe.operators import fitted, quantiles, ranking, splits
 from riskframe.operators.quantiles import exact_quantiles, quantile_values, running_totals
 
 
@@ -13,16 +13,16 @@ def disc(values, p):
     return ordered[max(math.ceil(round(p * len(ordered), 9)), 1) - 1]
 
 
-@pytest.mark.parametrize("cells", [None, 16, 300])
-def test_quantiles_equal_brute_force(spark, cells):
+@pytest.mark.parametrize("most", [10**6, 100, 3])
+def test_quantiles_equal_brute_force(spark, most):
     pick = random.Random(3)
     # A third of the rows share one value; the rest is long-tailed.
     values = [7.5 if pick.random() < 0.34 else round(math.exp(pick.gauss(3, 2)), 2) for _ in range(3000)]
     df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)] + [(None, 0), (float("nan"), 1)], "v double, g int")
-    probabilities = [0.0, 0.01, 0.25, 0.5, 0.7, 0.85, 0.99, 1.0]
-    got = {r["probability"]: r["value"] for r in exact_quantiles(df, ["v"], probabilities, cells=cells).collect()}
+    probabilities = [0.0, 0.01, 0.25, 0.5, 0.7, 0.85, 0.99, 0.9999999, 1.0, 1 / 3]
+    got = {r["probability"]: r["value"] for r in exact_quantiles(df, ["v"], probabilities, rows_per_bracket=most).collect()}
     assert got == {p: disc(values, p) for p in probabilities}
-    grouped = exact_quantiles(df, ["v"], [0.5], by=["g"], cells=cells).collect()
+    grouped = exact_quantiles(df, ["v"], [0.5], by=["g"], rows_per_bracket=most).collect()
     assert {r["g"]: r["value"] for r in grouped} == {g: disc(values[g::2], 0.5) for g in (0, 1)}
 
 
@@ -31,6 +31,47 @@ def test_quantiles_of_several_columns(spark):
     assert quantile_values(df, ["a", "b"], [0.5]) == {"a": {0.5: 50.0}, "b": {0.5: 100.0}}
 
 
+def test_quantiles_of_wild_and_of_equal_values(spark):
+    """Whatever a sketch says: many orders of size, both signs, infinities, one value only, and none."""
+    pick = random.Random(9)
+    wild = [pick.choice([-1, 1]) * 10.0 ** pick.uniform(-300, 300) for _ in range(500)] + [float("inf"), float("-inf"), 0.0, -0.0]
+    df = spark.createDataFrame([(v, 5.0, None) for v in wild], "a double, b double, c double")
+    for most in (10**6, 5):
+        rows = exact_quantiles(df, ["a", "b", "c"], [0.001, 0.5, 0.999], rows_per_bracket=most).collect()
+        got = {(r["column_name"], r["probability"]): r["value"] for r in rows}
+        assert got == {**{("a", p): disc(wild, p) for p in (0.001, 0.5, 0.999)}, **{("b", p): 5.0 for p in (0.001, 0.5, 0.999)}}
+    assert exact_quantiles(df.limit(0), ["a"], [0.5]).count() == 0
+
+
+def test_few_values_are_shuffled_for_a_quantile(spark):
+    """No bracket of the last pass holds more than its rows, unless it is one value."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v")).union(spark.range(100_000).select(F.lit(77.5)))
+    df.createOrReplaceTempView("many")
+    seen = []
+    first = quantiles._State.__init__
+
+    def watched(self, frame, by):
+        first(self, frame, by)
+        seen.append(self.only)
+
+    quantiles._State.__init__ = watched
+    try:
+        rows = exact_quantiles(df, ["v"], [0.1, 0.6], rows_per_bracket=50).collect()
+    finally:
+        quantiles._State.__init__ = first
+    ordered = sorted(r["v"] for r in df.collect())
+    assert {r["probability"]: r["value"] for r in rows} == {0.1: ordered[29_999], 0.6: ordered[179_999]}
+    last = [s for s in seen if "in0_0" in s][-1]
+    assert all(last[f"in0_{j}"] <= 50 or last[f"low0_{j}"] == last[f"high0_{j}"] for j in (0, 1))
+
+
+def test_cells_of_running_totals_are_small(spark):
+    df = spark.range(40_000).select((F.col("id") / 7).alias("v"), F.lit(1).alias("n"))
+    edges = quantiles.cell_edges(df, ["v"], rows_per_cell=500)
+    sizes = quantiles.with_cells(df, ["v"], edges).groupBy("__cell_v").count().collect()
+    assert max(r["count"] for r in sizes) <= 1500
+
+
 def test_running_totals_equal_brute_force(spark):
     pick = random.Random(4)
     rows = [(round(pick.random() ** 3, 3), pick.randrange(5)) for _ in range(2000)]
@@ -65,6 +106,17 @@ def test_ranking_metrics_equal_brute_force(spark):
         assert r["tn"] == sum(p < r["threshold"] for p in negatives)
 
 
+def test_rows_without_a_score_rank_last(spark):
+    rows = [(None, 0)] * 20 + [(float("nan"), 1)] + [(0.9, 1), (0.4, 0), (0.1, 0)]
+    df = spark.createDataFrame(rows, "p double, label int")
+    got = ranking.binary_metrics(df, "p", "label", 0.5).first()
+    assert (got.tp, got.fp, got.tn, got.fn) == (1, 0, 22, 1)
+    assert got.roc_auc == pytest.approx((22 + 20 / 2) / 44)
+    assert got.pr_auc == pytest.approx(0.5 + 0.5 * 2 / 24)
+    at = {r.threshold: r for r in ranking.threshold_table(df, "p", "label").collect()}
+    assert (at[0.05].tp, at[0.05].fp, at[0.05].tn, at[0.05].fn) == (1, 2, 20, 1)
+
+
 def test_metrics_without_positives_are_null_or_zero(spark):
     df = spark.createDataFrame([(0.2, 0), (0.8, 0)], "p double, label int")
     row = ranking.binary_metrics(df, "p", "label").first()
