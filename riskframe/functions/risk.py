@@ -28,9 +28,9 @@ FALLBACK = {
 
 
 def risk_score(probability: Column) -> Column:
-    """Probability in percent, half-even, held within 0-100."""
+    """Probability in percent, half-even, held within 0-100; NULL where it is NULL or NaN."""
     percent = F.least(F.greatest(probability * 100, F.lit(0.0)), F.lit(100.0))
-    return F.bround(percent).cast("int")
+    return F.when(probability.isNotNull() & ~F.isnan(probability.cast("double")), F.bround(percent).cast("int"))
 
 
 def _by_band(score: Column, field: int) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.isotonic import apply_isotonic, fit_isotonic
 from riskframe.operators.quantiles import known, running_totals
 
 # The threshold grid, policy limits and release gates.
@@ -211,34 +211,20 @@ def brier_scores(df: DataFrame, raw: str, calibrated: str, label: str) -> DataFr
 
 @dataclass(frozen=True)
 class Calibrator:
-    """A fitted isotonic curve; inputs outside its range take the end values."""
+    """A fitted isotonic curve; inputs outside its range take the end values, rows without a score have none."""
 
-    model: IsotonicRegressionModel
-    bins: int | None
+    steps: DataFrame
 
     def apply(self, df: DataFrame, score: str, output: str = "calibrated") -> DataFrame:
-        prepared = df.withColumn("__score", grid_value(F.col(score), self.bins))
-        fitted = self.model.setFeaturesCol("__score").setPredictionCol(output)
-        return fitted.transform(prepared).drop("__score")
+        return apply_isotonic(df, self.steps, score, output)
 
 
-def grid_value(score: Column, bins: int | None) -> Column:
-    """The score rounded down to a grid of ``bins`` steps, or itself without a grid."""
-    value = score.cast("double")
-    return value if bins is None else F.floor(value * bins) / F.lit(float(bins))
-
-
-def fit_calibrator(df: DataFrame, score: str, label: str, bins: int | None = None) -> Calibrator:
-    """Isotonic fit on the distinct scores weighted by their rows, which are merged first.
-
-    ``bins`` rounds scores down to a grid of so many steps before the fit and before it is
-    applied: an approximation for scores with too many distinct values to fit.
-    """
-    points = df.groupBy(grid_value(F.col(score), bins).alias("__score")).agg(
-        F.avg(F.col(label).cast("double")).alias("__label"), F.count(F.lit(1)).cast("double").alias("__weight")
+def fit_calibrator(df: DataFrame, score: str, label: str) -> Calibrator:
+    """Isotonic fit on the distinct scores weighted by their rows, which are merged first."""
+    points = df.groupBy(known(score).alias("x")).agg(
+        F.sum(F.col(label).cast("double")).alias("total"), F.count(label).cast("double").alias("weight")
     )
-    learner = IsotonicRegression(featuresCol="__score", labelCol="__label", weightCol="__weight")
-    return Calibrator(learner.fit(points), bins)
+    return Calibrator(fit_isotonic(points.filter("weight > 0")))
 
 
 def holdout_metrics(holdout: DataFrame, raw: str, calibrated: str, label: str, threshold: float) -> DataFrame:

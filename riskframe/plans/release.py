@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import ranking, training
 from riskframe.operators.contract import contract_checks
 from riskframe.operators.splits import WINDOWS, check_windows, validation_windows
+from riskframe.session import materialise
 from riskframe.spec import TableSpec
 
 
@@ -43,7 +44,6 @@ def release(
     spec: TableSpec,
     families=training.FAMILIES,
     settings: Mapping[str, Mapping] | None = None,
-    bins: int | None = None,
 ) -> Release:
     """The champion on the selection window, calibrated on the calibration window,
     with thresholds from the policy window, judged once on the holdout.
@@ -66,9 +66,10 @@ def release(
     model = models[name]
 
     def scored(df: DataFrame) -> DataFrame:
-        return training.predict(model, df, [spec.id, spec.label])
+        # Written, so that each metric reads numbers instead of predicting again.
+        return materialise(training.predict(model, df, [spec.id, spec.label]), "predictions")
 
-    calibrator = ranking.fit_calibrator(scored(windows["calibration"]), "probability", spec.label, bins)
+    calibrator = ranking.fit_calibrator(scored(windows["calibration"]), "probability", spec.label)
     policy_rows = calibrator.apply(scored(windows["policy"]), "probability")
     table = ranking.threshold_table(policy_rows, "calibrated", spec.label)
     thresholds = ranking.threshold_policy(table).first()

@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import fitted, quantiles, ranking, splits
+from riskframe.operators import fitted, isotonic, quantiles, ranking, splits, training
 from riskframe.operators.quantiles import exact_quantiles, quantile_values, running_totals
 
 
@@ -134,12 +135,70 @@ def test_policy_on_four_thresholds(spark):
     assert (strict["reject_threshold"], strict["reject_selection_rule"]) == (0.60, ranking.REJECT_FALLBACK_RULE)
 
 
-@pytest.mark.parametrize("bins", [None, 50])
-def test_calibration_is_monotone_and_clipped(spark, bins):
+def pooled(points):
+    """Adjacent violators pooled one pair at a time, from the start whenever one is found."""
+    blocks = [([x], w, t) for x, w, t in sorted(points)]
+    i = 0
+    while i + 1 < len(blocks):
+        (xs, w, t), (ys, v, u) = blocks[i], blocks[i + 1]
+        if t / w > u / v:
+            blocks[i : i + 2] = [(xs + ys, w + v, t + u)]
+            i = max(i - 1, 0)
+        else:
+            i += 1
+    return [(xs[0], xs[-1], t / w) for xs, w, t in blocks]
+
+
+SHAPES = {
+    "rising": lambda i, pick: i + pick.random(),
+    "falling": lambda i, pick: -i,
+    "saw": lambda i, pick: i % 40,
+    "waves": lambda i, pick: math.sin(i / 60) * 50 + i / 9 + pick.gauss(0, 4),
+    "cliff": lambda i, pick: i if i < 500 else i - 450,
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_isotonic_fit_in_ranges_equals_pooling(spark, shape, monkeypatch):
+    pick = random.Random(8)
+    points = [(i / 7, float(pick.randrange(1, 5))) for i in range(600)]
+    points = [(x, w, w * SHAPES[shape](i, pick)) for i, (x, w) in enumerate(points)]
+    sizes = []
+    cut = isotonic.cut
+
+    def watched(*args):
+        placed, cells = cut(*args)
+        sizes.append(max((r["count"] for r in placed.groupBy("cell").count().collect()), default=0))
+        return placed, cells
+
+    monkeypatch.setattr(isotonic, "cut", watched)
+    df = spark.createDataFrame([*points, (None, 1.0, 9.0), (float("nan"), 1.0, 9.0)], "x double, weight double, total double").repartition(3)
+    steps = isotonic.fit_isotonic(df, blocks_per_task=30)
+    expected = pooled(points)
+    got = sorted(map(tuple, steps.collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in expected]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in expected])
+    assert max(sizes) <= 90  # never all 600 in one task
+    asked = [-5.0, 0.0, 3.3, 17.01, 42.0, 80.5, 999.0, None, float("nan")]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "i int, x double")
+    found = isotonic.apply_isotonic(rows, steps, "x", "y", blocks_per_task=30).orderBy("i").collect()
+    xs = [x for low, high, _ in expected for x in (low, high)]
+    ys = [v for *_, v in expected for _ in (0, 1)]
+    assert [r.y for r in found[:7]] == pytest.approx(np.interp(asked[:7], xs, ys).tolist())
+    assert [r.y for r in found[7:]] == [None, None]
+
+
+def test_no_points_give_no_curve(spark):
+    steps = isotonic.fit_isotonic(spark.createDataFrame([], "x double, weight double, total double"))
+    rows = spark.createDataFrame([(0.5,)], "x double")
+    assert [r.y for r in isotonic.apply_isotonic(rows, steps, "x", "y").collect()] == [None]
+
+
+def test_calibration_is_monotone_and_clipped(spark):
     pick = random.Random(6)
     rows = [(p, int(pick.random() < p * p)) for p in (0.1 + 0.8 * pick.random() for _ in range(2000))]
     df = spark.createDataFrame(rows, "p double, label int")
-    calibrator = ranking.fit_calibrator(df, "p", "label", bins)
+    calibrator = ranking.fit_calibrator(df, "p", "label")
     outside = spark.createDataFrame([(0.0,), (0.3,), (0.5,), (0.7,), (1.0,)], "p double")
     got = [r["calibrated"] for r in calibrator.apply(outside, "p").orderBy("p").collect()]
     assert got == sorted(got) and 0 <= got[0] and got[-1] <= 1
@@ -191,3 +250,18 @@ def test_medians_come_from_training_rows_and_empty_columns_fail(spark):
     assert sorted(r[0] for r in filled) == [1.0, 1.0, 3.0]
     with pytest.raises(ValueError, match="b"):
         fitted.fit_medians(df, ["a", "b"])
+
+
+def test_the_first_rounds_of_a_run_are_the_shorter_run(spark):
+    pick = random.Random(2)
+    rows = [(i, float(pick.random()), float(pick.random()), "ab"[i % 2]) for i in range(300)]
+    rows = [(i, a, b, c, int(a * b > 0.3)) for i, a, b, c in rows]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c string, label int")
+    columns = training.Columns("id", "label", ["a", "b"], ["c"])
+    points = {"short": {"maxIter": 2, "maxDepth": 2}, "long": {"maxIter": 5, "maxDepth": 2}, "deep": {"maxIter": 2, "maxDepth": 3}}
+    found = training.fit_grid(df, columns, "gbt", points, None, 2)
+    for name, point in points.items():
+        own = training.pipeline("gbt", columns, **point).fit(df)
+        got, expected = (sorted(training.predict(m, df, ["id"]).collect()) for m in (found[name], own))
+        assert got == expected
+    assert found["short"].stages[-1].getNumTrees == 2 and found["long"].stages[-1].getNumTrees == 5
