@@ -63,8 +63,8 @@ RATIO_FEATURES = ("amount_ratio_to_card_mean", "amount_deviation_from_card_mean"
 class TableSpec:
     """Roles of the columns of a transaction table joined with its side table.
 
-    ``amount_scale`` is the number of decimals that amounts carry; sums are
-    taken over whole minor units, so they do not depend on the order of rows.
+    ``amount_scale`` is the number of decimals that amounts usually carry: sums
+    are then taken over 64-bit whole units, else over decimals of nine places. Neither depends on the order of rows.
     """
 
     id: str
