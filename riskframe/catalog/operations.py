@@ -1,12 +1,16 @@
 """Queries: scoring policy, review queue, imports and KPIs."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskframe.catalog.registry import query
 from riskframe.catalog.tables import SPEC, raw_import, review_log, scored, txn, wide
 from riskframe.functions import risk
 from riskframe.operators import queue
+from riskframe.session import shared_folder
 from riskframe.sources import batch_import
+from riskframe.sources.buckets import BucketTable
 
 ID, P = SPEC.id, "p"
 
@@ -148,6 +152,18 @@ def upsert_scored(spark, d):
     return queue.upsert(current, incoming, ID, "version")
 
 
+@query("upsert_buckets", UPSERT_SQL)
+def upsert_buckets(spark, d):
+    """The same upsert into a stored table, in two batches; each rewrites only the buckets it touches."""
+    rows = scored(spark, d).withColumn("amount", F.col("amount").cast("double"))
+    table = BucketTable(f"{shared_folder(spark)}/riskframe-{uuid.uuid4().hex}/scored", (ID,), 16)
+    table.create(rows.filter("transaction_dt < 1728000").select(ID, "amount", P, F.lit(1).alias("version")))
+    incoming = rows.select(ID, "amount", (F.col(P) / 2).alias(P), (2 - F.col(ID) % 3).cast("int").alias("version"), "transaction_dt")
+    for part in ("transaction_dt >= 864000 AND transaction_dt < 2000000", "transaction_dt >= 2000000"):
+        table.upsert(incoming.filter(part).drop("transaction_dt"), ["version"])
+    return table.read(spark)
+
+
 @query("review_latest", "SELECT transaction_id, status, updated_at FROM review")
 def review_latest(spark, d):
     return reviews(spark, d)

@@ -1,4 +1,5 @@
 import math
+import pathlib
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from riskframe.plans.release import model_columns, release
 from riskframe.plans.reports import write_reports
 from riskframe.plans.scoring import score_batch, write_scored
 from riskframe.sources import batch_import, files, schemas
+from riskframe.sources.buckets import BucketTable
 from riskframe.spec import CARD_PAYMENTS
 
 
@@ -209,3 +211,33 @@ def test_import_of_ids_that_are_no_bigints(spark):
 
     assert {r.id for r in valid_rows(raw, "id", "amount").collect()} == {9007199254740993, 12, -5}
     assert quarantined_rows(raw, "id", "amount").count() == len(ids) + 2 - 3
+
+
+def test_an_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    table = BucketTable(folder, ("id",), 8)
+    schema = "id bigint, value string, at int"
+    first = [(i, f"old{i}", 1) for i in range(40)] + [(None, "old", 1)]
+    table.create(spark.createDataFrame(first, schema))
+    before = {b: p for b, p in table.paths(spark)[1].items()}
+    files = {p: sorted((f.name, f.stat().st_mtime_ns) for f in pathlib.Path(p).iterdir()) for p in before.values()}
+    batch = [(3, "older", 0), (4, "tie", 1), (4, "stale", 0), (900, "new", 5), (None, "newer", 2)]
+    touched = table.upsert(spark.createDataFrame(batch, schema), ["at"])
+    assert 0 < len(touched) <= 4
+    version, after = table.paths(spark)
+    assert version == 2 and {b for b in after if after[b] != before.get(b)} == set(touched)
+    for path, had in files.items():
+        assert sorted((f.name, f.stat().st_mtime_ns) for f in pathlib.Path(path).iterdir()) == had
+    expected = {i: (v, a) for i, v, a in first} | {4: ("tie", 1), 900: ("new", 5), None: ("newer", 2)}
+    assert {r.id: (r.value, r.at) for r in table.read(spark).collect()} == expected
+    assert table.read(spark).count() == len(expected)
+    assert table.upsert(spark.createDataFrame([], schema), ["at"]) == []
+
+
+def test_a_stored_table_may_start_empty(spark, tmp_path):
+    table = BucketTable(str(tmp_path / "t"), ("id",), 4)
+    rows = spark.createDataFrame([(1, 2)], "id bigint, at int")
+    table.create(rows.limit(0))
+    assert table.read(spark).count() == 0 and table.read(spark).columns == ["id", "at"]
+    table.upsert(rows, ["at"])
+    assert [tuple(r) for r in table.read(spark).collect()] == [(1, 2)]
