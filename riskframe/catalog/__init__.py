@@ -6,7 +6,7 @@ from importlib import import_module
 
 from riskframe.catalog.registry import ORACLES, QUERIES, Query
 
-MODULES = ("features", "reports", "quality", "fitting", "evaluation", "operations", "models")
+MODULES = ("features", "reports", "quality", "fitting", "evaluation", "operations", "scoring", "models")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -1,4 +1,4 @@
-"""Batch scoring: fill, predict, calibrate, classify, upsert."""
+"""Batch scoring: fill, predict, explain, calibrate, classify, upsert."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from riskframe.functions.risk import DEFAULT_FEATURE_VALUE
 from riskframe.functions.rowwise import MISSING_CATEGORY
 from riskframe.operators import queue, training
 from riskframe.operators.ranking import Calibrator
+from riskframe.operators.scorers import Scorer, largest, scorer_of
+from riskframe.session import materialise
 from riskframe.spec import TableSpec
 
 SCORED_COLUMNS = (
@@ -22,12 +24,13 @@ SCORED_COLUMNS = (
     "scored_at",
     "model_version",
     "features",
+    "contributions",
 )
 
 
 def score_batch(
     df: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | Scorer,
     calibrator: Calibrator | None,
     spec: TableSpec,
     columns: training.Columns,
@@ -37,8 +40,11 @@ def score_batch(
     """Score every row of ``df`` in one pass.
 
     Missing or NULL numeric features take the default value; a row counts as
-    fully scored when the table supplies every contract column.
+    fully scored when the table supplies every contract column. ``contributions``
+    are the five features that moved the model's output most, before calibration.
+    A fitted pipeline and its stored scorer give the same rows.
     """
+    scorer = scorer_of(model, columns) if isinstance(model, PipelineModel) else model
     supplied = set(df.columns)
     mode = "full_feature" if supplied.issuperset([*columns.numeric, *columns.text]) else "partial_demo"
     default = F.lit(float(DEFAULT_FEATURE_VALUE))
@@ -57,10 +63,15 @@ def score_batch(
     )
     given = [c for c in (*columns.numeric, *columns.text) if c in supplied]
     kept = F.to_json(F.struct(*[F.col(c) for c in given]))
-    predicted = training.predict(
-        model, filled.withColumn("__given", kept), [spec.id, "__amount", "__given"]
+    predicted = filled.select(
+        spec.id,
+        "__amount",
+        kept.alias("__given"),
+        scorer.probability().alias("probability"),
+        largest(scorer.contributions()).alias("contributions"),
     )
     if calibrator is not None:
+        predicted = materialise(predicted, "predicted")  # the curve reads the scores twice
         predicted = calibrator.apply(predicted, "probability").drop("probability").withColumnRenamed(
             "calibrated", "probability"
         )
