@@ -285,6 +285,29 @@ def import_summary(spark, d):
     return batch_import.import_summary(raw_import(spark, d), ID, "amount")
 
 
+NUMBERED = """CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 5 THEN concat(CAST(event_id AS STRING), '.25') ELSE CAST(event_id AS STRING) END AS transaction_id
+CASE WHEN event_id % 101 = 0 THEN 'abc' WHEN event_id % 103 = 0 THEN NULL ELSE CAST(CAST(value AS DECIMAL(18,2)) AS STRING) END AS amount
+event_id
+event_id % 4 AS part""".splitlines()
+
+
+@query(
+    "import_row_numbers",
+    f"""SELECT * FROM (SELECT transaction_id, amount, 'part=' || part AS file, 1 + row_number() OVER (PARTITION BY part ORDER BY event_id) AS row_number,
+        CASE WHEN transaction_id IS NULL THEN '{batch_import.ID_MISSING}' WHEN contains(transaction_id, '.') THEN '{batch_import.ID_NOT_WHOLE}'
+        WHEN amount = 'abc' THEN '{batch_import.AMOUNT_NOT_NUMBER}' END AS error FROM (SELECT {', '.join(NUMBERED)} FROM events)) WHERE error IS NOT NULL""",
+)
+def import_row_numbers(spark, d):
+    """CSV files with their rows in the order of the events; each rejected row is named by its file and its number there."""
+    raw = spark.read.parquet(f"{d}/events.parquet").selectExpr(*NUMBERED)
+    path = f"{shared_folder(spark)}/riskframe-{uuid.uuid4().hex}/import"
+    ordered = raw.repartition("part").sortWithinPartitions("part", "event_id")
+    ordered.select(ID, "amount", "part").write.partitionBy("part").option("header", True).csv(path)
+    rejected = batch_import.quarantined_rows(batch_import.numbered_csv(spark, f"{path}/part=*"), ID, "amount")
+    folder = F.element_at(F.split("file", "/"), -2)
+    return rejected.select(ID, "amount", folder.alias("file"), "row_number", "error")
+
+
 EXPECTED = ("amount", "product", "card_brand", "card_type")
 
 

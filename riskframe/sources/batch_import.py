@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import materialise
+from riskframe.sources.files import CSV_OPTIONS, csv_header
+
 ID_MISSING = "transaction id is missing"
 ID_NOT_WHOLE = "transaction id is not a whole number"
 AMOUNT_NOT_NUMBER = "amount is not a number"
@@ -68,6 +71,27 @@ def quarantined_rows(raw: DataFrame, id_column: str, amount: str) -> DataFrame:
     return checked(raw, id_column, amount).filter(F.col("error").isNotNull())
 
 
+def numbered_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of CSV files as text, with ``file`` (path) and ``row_number`` (the header is row 1) of each row.
+
+    Nothing is sorted: a split is read in order, so a row's place in it is a difference of increasing ids, and the
+    splits before it in its file are counted in a pass of their own over a table of one row for each split. Files have to stay as they are meanwhile.
+    """
+    names = csv_header(spark, path)
+    rows = spark.read.options(**CSV_OPTIONS).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("__split"),
+        F.monotonically_increasing_id().alias("__id"),
+    )
+    splits = materialise(placed.groupBy("file", "__split").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows")), "splits")
+    before = Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "__split", "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.col("__id") - F.col("__first") + 2
+    return placed.join(starts, ["file", "__split"]).select(*[f"`{n}`" for n in names], "file", number.alias("row_number"))
+
+
 def import_summary(raw: DataFrame, id_column: str, amount: str) -> DataFrame:
     """How many rows came in and how many were rejected, per reason."""
     return (

@@ -11,6 +11,7 @@ from riskframe.plans.release import model_columns, release
 from riskframe.plans.reports import write_reports
 from riskframe.plans.scoring import score_batch, write_scored
 from riskframe.sources import batch_import, files, schemas
+from riskframe.sources.batch_import import numbered_csv
 from riskframe.sources.buckets import BucketTable
 from riskframe.spec import CARD_PAYMENTS
 
@@ -241,3 +242,19 @@ def test_a_stored_table_may_start_empty(spark, tmp_path):
     assert table.read(spark).count() == 0 and table.read(spark).columns == ["id", "at"]
     table.upsert(rows, ["at"])
     assert [tuple(r) for r in table.read(spark).collect()] == [(1, 2)]
+
+
+def test_rows_of_csv_files_are_numbered_across_splits(spark, tmp_path):
+    for name, n in (("a", 700), ("b", 3), ("c", 0)):
+        lines = ["id,amount", *[f"{name}{i},{'' if i % 5 else i}" for i in range(1, n + 1)]]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        rows = numbered_csv(spark, str(tmp_path))
+        found = {(pathlib.Path(r.file).stem, r.row_number): r.id for r in rows.collect()}
+        splits = spark.read.csv(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits > 5
+    assert found == {(f, i + 1): f"{f}{i}" for f, n in (("a", 700), ("b", 3)) for i in range(1, n + 1)}
