@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from riskframe.catalog.registry import query
 from riskframe.catalog.tables import SPEC, base, clean, ident, raw_import, txn, wide
 from riskframe.operators import profile
-from riskframe.session import shared_folder
+from riskframe.session import materialise, shared_folder
 from riskframe.sources import files
 
 ID = SPEC.id
@@ -87,6 +87,26 @@ def column_profile_approx(spark, d):
     return profile.column_profile(wide(spark, d), "train")
 
 
+@query(
+    "column_profile_merged",
+    """SELECT dataset, column_name, spark_type, row_count, null_count, null_pct, is_sparse_over_80pct, exact_distinct_count, TRUE AS estimate_close FROM rated""",
+    (PROFILE, RATED),
+)
+def column_profile_merged(spark, d):
+    """A profile from the stored states of two parts of the table; its distinct counts are held against the exact ones."""
+    rows = wide(spark, d)
+    early, late = rows.filter(F.col(SPEC.time) < 1728000), rows.filter(F.col(SPEC.time) >= 1728000)
+    states = [materialise(profile.profile_state(part), "state") for part in (early, late)]
+    merged = profile.profile_of_state(profile.merge_profiles(profile.union_all(states)), "train")
+    exact = profile.column_profile(rows, "train", exact=True).select("column_name", "exact_distinct_count")
+    off = F.abs(F.col("approx_distinct_count") - F.col("exact_distinct_count"))
+    close = off <= 3 * profile.SKETCH_ERROR * F.col("exact_distinct_count")
+    return merged.join(exact, "column_name").select(
+        "dataset", "column_name", "spark_type", "row_count", "null_count", "null_pct", "is_sparse_over_80pct", "exact_distinct_count",
+        close.alias("estimate_close"),
+    )
+
+
 @query(
     "missingness_strategy",
     f"""SELECT column_name, null_pct,
@@ -176,3 +196,31 @@ def wide_store_roundtrip(spark, d):
             F.sum("selected_missing_count").alias("missing"),
         )
     )
+
+
+@query(
+    "manifest_changes",
+    """SELECT 'part=' || CAST(transaction_id % 5 AS VARCHAR) AS part,
+       CASE WHEN transaction_id % 5 = 4 THEN NULL ELSE count(*) END AS rows_before,
+       CASE WHEN transaction_id % 5 = 3 THEN NULL ELSE count(*) END AS rows_after,
+       CASE transaction_id % 5 WHEN 0 THEN 'kept' WHEN 1 THEN 'rewritten' WHEN 2 THEN 'changed' WHEN 3 THEN 'removed' ELSE 'added' END AS state
+       FROM txn GROUP BY transaction_id % 5""",
+)
+def manifest_changes(spark, d):
+    """Folders of a stored table by what happened to them since its manifest: one reordered, one with one amount edited, one gone, one new."""
+    path = scratch(spark, "parts")
+    rows = txn(spark, d).select(ID, SPEC.time, "amount", "product", (F.col(ID) % 5).alias("part"))
+
+    def put(some) -> None:
+        some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+    put(rows.filter("part < 4"))
+    before = materialise(files.content_manifest(spark, path), "manifest")
+    put(rows.filter("part = 1").orderBy(F.desc(ID)))
+    least = rows.filter("part = 2").agg(F.min(ID)).first()[0]
+    edited = F.when(F.col(ID) == least, F.coalesce("amount", F.lit(0)) + 1).otherwise(F.col("amount")).cast("decimal(18,2)")
+    put(rows.filter("part = 2").withColumn("amount", edited))
+    put(rows.filter("part = 4"))
+    after = files.content_manifest(spark, path, before)
+    found = files.compare_manifests(before, after.filter(~F.col("part").endswith("part=3")))
+    return found.withColumn("part", F.element_at(F.split("part", "/"), -1))

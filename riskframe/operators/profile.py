@@ -21,6 +21,10 @@ TEXT_ACTION = "categorical_fill_missing"
 NUMBER_STRATEGY = "median_train_only"
 NUMBER_ACTION = "numeric_imputation"
 
+# A sketch has 2^bits cells; its standard error follows from them.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
 
 def key_audit(df: DataFrame, key: str, dataset: str) -> DataFrame:
     """Missing and repeated keys of a table."""
@@ -68,23 +72,63 @@ def column_profile(df: DataFrame, dataset: str, exact: bool = False) -> DataFram
             for name in names
         ]
         parts.append(df.agg(F.array(*entries).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
+    return _rated(union_all(parts), dataset, distinct)
+
+
+def _rated(measured: DataFrame, dataset: str, distinct: str) -> DataFrame:
+    """Shares and flags of a profile's counts."""
     rows = F.col("row_count")
     null_share = F.when(rows > 0, F.col("null_count") / rows).otherwise(F.lit(0.0))
     cardinality = F.when(rows > 0, F.col(distinct) / rows).otherwise(F.lit(0.0))
-    return (
-        union_all(parts)
-        .withColumns(
-            {
-                "dataset": F.lit(dataset),
-                "null_pct": null_share * 100,
-                "cardinality_ratio": cardinality,
-                "is_sparse_over_80pct": null_share > SPARSE_SHARE,
-                "is_high_cardinality_over_10pct": cardinality > HIGH_CARDINALITY,
-            }
-        )
+    return measured.withColumns(
+        {
+            "dataset": F.lit(dataset),
+            "null_pct": null_share * 100,
+            "cardinality_ratio": cardinality,
+            "is_sparse_over_80pct": null_share > SPARSE_SHARE,
+            "is_high_cardinality_over_10pct": cardinality > HIGH_CARDINALITY,
+        }
     )
 
 
+def profile_state(df: DataFrame) -> DataFrame:
+    """What a part of a table adds to a profile: per column its rows, NULLs and a sketch of its values.
+
+    One pass with map-side merging; a state is a few kilobytes for each column, whatever the part holds. States of
+    parts are kept, so that a new part is profiled without the old ones being read.
+    """
+    types = dict(df.dtypes)
+    parts = []
+    for names in batches(df.columns, COLUMNS_PER_PASS):
+        entries = []
+        for name in names:
+            value = F.col(f"`{name}`")
+            hashed = F.when(value.isNotNull(), F.xxhash64(value))  # sketches know few types
+            entries.append(
+                F.struct(
+                    F.lit(name).alias("column_name"),
+                    F.lit(types[name]).alias("spark_type"),
+                    F.count(F.lit(1)).alias("row_count"),
+                    (F.count(F.lit(1)) - F.count(value)).alias("null_count"),
+                    F.hll_sketch_agg(hashed, F.lit(SKETCH_BITS)).alias("sketch"),
+                )
+            )
+        parts.append(df.agg(F.array(*entries).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
+    return union_all(parts)
+
+
+def merge_profiles(states: DataFrame) -> DataFrame:
+    """One state of all parts. A column that some parts lack has the rows of the parts that have it."""
+    counts = [F.sum(c).alias(c) for c in ("row_count", "null_count")]
+    return states.groupBy("column_name", "spark_type").agg(*counts, F.hll_union_agg("sketch").alias("sketch"))
+
+
+def profile_of_state(state: DataFrame, dataset: str) -> DataFrame:
+    """The rows of ``column_profile``; distinct values within about ``SKETCH_ERROR`` (one standard error)."""
+    counted = state.withColumn("approx_distinct_count", F.hll_sketch_estimate("sketch")).drop("sketch")
+    return _rated(counted, dataset, "approx_distinct_count")
+
+
 def missing_grade(null_pct: Column) -> Column:
     parts = [F.when(null_pct < limit, grade) for limit, grade in MISSING_GRADES]
     return F.coalesce(*parts, F.lit(TOP_MISSING_GRADE))

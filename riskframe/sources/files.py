@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from hashlib import sha256
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,6 +106,62 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _folder(path: str) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def _contents(rows: DataFrame) -> DataFrame:
+    """Rows and fingerprint of each folder: equal for equal rows in whatever order and files."""
+    digest = F.sum(F.xxhash64(*[f"`{c}`" for c in sorted(rows.columns)]).cast("decimal(38,0)")).cast("string")
+    schema = sha256(",".join(sorted(f"{n} {t}" for n, t in rows.dtypes)).encode()).hexdigest()
+    found = rows.groupBy(_folder("_metadata.file_path").alias("part")).agg(F.count(F.lit(1)).alias("rows"), digest.alias("fingerprint"))
+    return found.withColumn("schema_hash", F.lit(schema))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return files.groupBy(_folder("path").alias("part")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest")
+    )
+
+
+def content_manifest(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """One row for each folder of a Parquet table: its files, rows, content and schema.
+
+    With the manifest of an earlier time only folders are read whose files are not those of then by number, size or time;
+    the listing of the others is enough.
+    """
+    listed = _listed(spark, path)
+    if known is None:
+        return listed.join(_contents(spark.read.parquet(path)), "part")
+    seen = ["part", "files", "bytes", "newest"]
+    kept = listed.join(known, seen, "left_semi").join(known, seen)
+    fresh = [r.part for r in listed.join(known, seen, "left_anti").select("part").collect()]
+    if not fresh:
+        return kept.select(*known.columns)
+    again = _contents(spark.read.option("basePath", path).parquet(*fresh))
+    return kept.select(*known.columns).unionByName(listed.join(again, "part").select(*known.columns))
+
+
+def compare_manifests(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What became of each folder: ``kept`` (the same files), ``rewritten`` (other files, equal rows), ``changed``, ``schema``, ``added`` or ``removed``."""
+    old, new = before.alias("old"), after.alias("new")
+    both = old.join(new, F.col("old.part") == F.col("new.part"), "full_outer")
+
+    def equal(*names: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"old.{n}") == F.col(f"new.{n}") for n in names])
+
+    state = (
+        F.when(F.col("old.part").isNull(), "added")
+        .when(F.col("new.part").isNull(), "removed")
+        .when(~equal("schema_hash"), "schema")
+        .when(~equal("rows", "fingerprint"), "changed")
+        .when(equal("files", "bytes", "newest"), "kept")
+        .otherwise("rewritten")
+    )
+    return both.select(F.coalesce("old.part", "new.part").alias("part"), F.col("old.rows").alias("rows_before"), F.col("new.rows").alias("rows_after"), state.alias("state"))
+
+
 def require_size(inventory: DataFrame, at_least_bytes: int) -> None:
     total = inventory.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
     if total < at_least_bytes:

@@ -258,3 +258,34 @@ def test_rows_of_csv_files_are_numbered_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert splits > 5
     assert found == {(f, i + 1): f"{f}{i}" for f, n in (("a", 700), ("b", 3)) for i in range(1, n + 1)}
+
+
+def test_profile_states_add_up(spark):
+    pick = random.Random(3)
+    rows = [(pick.randrange(3000), None if i % 7 == 0 else f"v{i}", float("nan") if i % 2 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a int, `b.c` string, d double")
+    states = profile.union_all([profile.profile_state(df.filter(f"pmod(hash(a), 3) = {i}")) for i in range(3)] + [profile.profile_state(df.limit(0))])
+    found = {r.column_name: r for r in profile.profile_of_state(profile.merge_profiles(states), "x").collect()}
+    assert {c: (r.row_count, r.null_count) for c, r in found.items()} == {
+        "a": (6000, 0), "b.c": (6000, sum(r[1] is None for r in rows)), "d": (6000, 3000)
+    }
+    for column, exact in (("a", len({r[0] for r in rows})), ("b.c", len({r[1] for r in rows} - {None})), ("d", 1)):
+        assert abs(found[column].approx_distinct_count - exact) <= 3 * profile.SKETCH_ERROR * exact
+
+
+def test_a_manifest_reads_only_folders_that_are_not_as_they_were(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "id * 2 AS v", "id % 3 AS part").write.partitionBy("part").parquet(path)
+    content = files.content_manifest(spark, path)
+    content.write.parquet(str(tmp_path / "manifest"))
+    before = spark.read.parquet(str(tmp_path / "manifest"))
+    assert {r.state for r in files.compare_manifests(before, files.content_manifest(spark, path, before)).collect()} == {"kept"}
+    # A fingerprint that was tampered with stays, since the folder's files are the same: it was not read.
+    odd = before.withColumn("fingerprint", F.lit("0"))
+    again = files.content_manifest(spark, path, odd)
+    assert {r.fingerprint for r in again.collect()} == {"0"}
+    spark.range(100).selectExpr("id", "id * 2 AS v", "id % 3 AS part").filter("part = 1 AND id <> 4").write.mode("overwrite").partitionBy("part").parquet(path)
+    after = {r.part[-6:]: r.fingerprint for r in files.content_manifest(spark, path, odd).collect()}
+    assert after["part=0"] == after["part=2"] == "0" != after["part=1"]
+    states = {r.part[-6:]: (r.state, r.rows_before, r.rows_after) for r in files.compare_manifests(before, files.content_manifest(spark, path, before)).collect()}
+    assert states["part=1"] == ("changed", 33, 32) and states["part=0"] == ("kept", 34, 34)
