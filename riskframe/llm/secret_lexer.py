@@ -26,15 +26,32 @@ KINDS = ("assign", "access", "hex", "flow")
 #: What stands for a secret in a redacted text.
 MARK = "[REDACTED]"
 
-#: Characters before an operator in which its target's name is looked for.
-NAME_REACH = 120
-
-OPERATOR = re.compile(r"(?<![=:!<>+*/%&|^~-])(?::=|=>|=(?![=~])|:(?![:/]))")
-NAME = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`]?\]?[ \t]*$""", re.ASCII)
-VALUE = re.compile(
-    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`|([A-Za-z_$][\w$.-]*(?![\w$(.+/=-]))|([^\s"'`,;#()\[\]{}]+))""",
+# The forms of string literals, longest first; each has its content as a group.
+STRINGS = (
+    r'"""((?:[^"\\]|\\.|"(?!""))*)"""', r"'''((?:[^'\\]|\\.|'(?!''))*)'''",
+    r'"((?:[^"\\\n]|\\.)*)"', r"'((?:[^'\\\n]|\\.)*)'", r"`((?:[^`\\\n]|\\.)*)`",
+)
+#: Letters before a quote that belong to the string.
+PREFIX = r"[fFrRbBuU]{0,2}"
+#: A quote after a letter or a backslash opens no string: it is an apostrophe or escaped.
+LEXEME = re.compile(
+    rf"""(?<![\w\\]){PREFIX}(?:{"|".join(STRINGS)})|(?P<op>(?<![=:!<>+*/%&|^~-])(?::=|=>|=(?![=~])|:(?![:/])))"""
+    r"""|(?P<name>[A-Za-z_$][\w$.-]*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<line>\n)""",
     re.ASCII,
 )
+NAME_LIKE = re.compile(r"[A-Za-z_$][\w$.-]*", re.ASCII)
+#: What may lie between a target and its operator, and between both operators of a typed assignment.
+GAP = re.compile(r"""["'`]?\]?[ \t]*""")
+TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.\[\], |]*[ \t]*", re.ASCII)
+VALUE = re.compile(
+    rf"[ \t]*(?:{PREFIX}(?:{'|'.join(STRINGS)})" r"""|([A-Za-z_$][\w$.-]*(?![\w$(.+/=-]))|([^\s"'`,;#()\[\]{}]+))""", re.ASCII
+)
+IS_NAME = len(STRINGS) + 1
+#: A string on the line after its operator, unless it is a key itself; and the second argument of a call, its default.
+BELOW = re.compile(r"""[ \t]*\\?\r?\n[ \t]*(?=["'`])""")
+KEY_AFTER = re.compile(r"[ \t]*[:=]")
+DEFAULT = re.compile(r"""[ \t]*[A-Za-z_$][\w$.]*\(\s*["'][^"'\n]*["']\s*,\s*(?=["'`])""", re.ASCII)
+ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>]+)</\1>", re.ASCII)
 JOINED = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]))[ \t]*(?=[\"'`A-Za-z_$])")
 
 # Parts of names and how surely what they name is secret.
@@ -74,25 +91,63 @@ def literal_score(value: str, quoted: bool) -> float:
     return score if kinds > 1 else score * 0.6
 
 
+def _parts(text: str, end: int) -> list[tuple[str, int, int, bool]]:
+    """The value after an operator that ends at ``end``: strings, names and bare words that are joined."""
+    if default := DEFAULT.match(text, end):
+        end = default.end()
+    elif below := BELOW.match(text, end):
+        first = VALUE.match(text, below.end())
+        if not first or KEY_AFTER.match(text, first.end()):
+            return []
+        end = below.end()
+    parts = []
+    while part := VALUE.match(text, end):
+        which = part.lastindex
+        parts.append(("name" if which == IS_NAME else "literal", *part.span(which), which < IS_NAME))
+        more = JOINED.match(text, part.end())
+        if not more:
+            break
+        end = more.end()
+    return parts
+
+
 def statements(text: str) -> list[tuple[int, str, list[tuple[str, int, int, bool]]]]:
-    """Position, target name and value parts of each assignment; a part is (kind, start, end, quoted), kind "literal" or "name"."""
+    """Position, target name and value parts of each assignment; a part is (kind, start, end, quoted), kind "literal" or "name".
+
+    The text is read once, lexeme by lexeme. Operators inside strings assign nothing. ``name: Type = value`` assigns to ``name``;
+    ``(name: Type)`` assigns nothing. A value may be on the next line, be a call's default or an element's content.
+    """
     found = []
-    for operator in OPERATOR.finditer(text):
-        at = operator.start()
-        name = NAME.search(text, max(0, at - NAME_REACH), at)
-        if not name:
-            continue
-        parts, end = [], operator.end()
-        while part := VALUE.match(text, end):
-            which = part.lastindex
-            parts.append(("name" if which == 4 else "literal", *part.span(which), which < 4))
-            more = JOINED.match(text, part.end())
-            if not more:
-                break
-            end = more.end()
-        if parts:
-            found.append((at, name[1], parts))
-    return found
+    target, typed, brackets = None, None, []
+    for lexeme in LEXEME.finditer(text):
+        kind = lexeme.lastgroup
+        if kind == "op":
+            at, end, sign = lexeme.start(), lexeme.end(), lexeme["op"]
+            name = target[0] if target and GAP.fullmatch(text, target[1], at) else None
+            if sign == "=" and typed and TYPE.fullmatch(text, typed[1], at):
+                name = typed[0]
+                if found and found[-1][0] == typed[2]:
+                    found.pop()  # that was the type
+            typed = (name, end, at) if sign == ":" and name else None
+            if name and (parts := _parts(text, end)):
+                bare = all(p[0] == "name" for p in parts)
+                if not (sign == ":" and bare and brackets and brackets[-1] == "("):
+                    found.append((at, name, parts))
+        elif kind == "name":
+            target = (lexeme[0], lexeme.end())
+        elif kind == "line":
+            target = typed = None
+        elif kind == "open":
+            brackets.append(lexeme[0])
+        elif kind == "close":
+            if brackets:
+                brackets.pop()
+        else:
+            inside = lexeme[lexeme.lastindex]
+            target = (inside, lexeme.end()) if NAME_LIKE.fullmatch(inside) else None
+    for element in ELEMENT.finditer(text) if "</" in text else ():
+        found.append((element.start(), element[1], [("literal", *element.span(2), False)]))
+    return sorted(found, key=lambda f: f[0])
 
 
 def flows(text: str) -> list[tuple[int, int]]:
@@ -145,7 +200,7 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span(), m.start()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span(), m.start()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         spans.sort(key=lambda s: s[1])
         covered, least = [], 0
         for _, start, end, _ in spans:
@@ -161,7 +216,8 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
 def find_secrets(documents: DataFrame) -> DataFrame:
     """``doc_id`` and its ``spans``: kind, start and end in code points (end exclusive), by start, then kind.
 
-    NULL and empty texts have none. A row for each row.
+    NULL and empty texts have none. A row for each row, repeated ones too; texts have no longest length, and other columns are not
+    read. No rows give no rows.
     """
 
     def start():
